@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +119,6 @@ def range_splits(df: DataFrame, key: str, parts: int, weight: str | None = None,
 
 def range_bucket(splits: np.ndarray):
     """A vectorised function from a nullable long key to its range; null goes to range 0."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def bucket(keys: pd.Series) -> pd.Series:
         known = keys.notna().to_numpy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm import bpe_count, interleave, langid, mixing
+from querywright.llm import bpe_count, cdc, interleave, jaccard, langid, mixing, ordinal, spaced
 from querywright.llm.common import read_table
 
 TOKEN_LIMIT = 512
@@ -20,6 +20,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = ordinal.train(docs, ordinal.grades_from_labels(read_table(spark, sf_dir, "labels")))
+    told = docs.select("doc_id", ordinal.severity(spark, F.col("text"), model).alias("s"))
+    return told.select("doc_id", "s.expected_severity", "s.p_toxic", "s.grade", (F.col("s.p_toxic") >= 0.5).alias("toxic"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     n = bpe_count.token_count(spark, F.col("text"), tokenizer_path("byte_bpe_50k.json"))
@@ -32,6 +39,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.fingerprint_with_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"))
@@ -40,6 +51,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.select(
@@ -53,9 +72,13 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op5_fingerprints": op5_fingerprints,
     "op7_language": op7_language,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_contamination": op9_contamination,
     "op10_shards": op10_shards,
 }
 
