@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm import bpe_count, cdc, interleave, jaccard, langid, mixing, ordinal, spaced
+from querywright.llm import bpe_count, cdc, html_blocks, interleave, jaccard, langid, mixing, ordinal, spaced, warc
 from querywright.llm.common import read_table
 
 TOKEN_LIMIT = 512
@@ -34,6 +34,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_single_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +47,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.fingerprint_with_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    told = pages.select("page_id", "url", html_blocks.extract_main_text(F.col("html")).alias("text"))
+    return told.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"))
@@ -74,8 +84,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
     "op4_mix_sources": op4_mix_sources,
     "op5_fingerprints": op5_fingerprints,
+    "op6_main_text": op6_main_text,
     "op7_language": op7_language,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_contamination": op9_contamination,
