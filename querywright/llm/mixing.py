@@ -174,3 +174,16 @@ def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "tex
     spark = docs.sparkSession
     info = spark.createDataFrame([(m, n, t) for (m, n), t in zip(sizes, targets, strict=True)], "_qw_mark string, source_size long, target double")
     return mixed.join(info, "_qw_mark", "left").select(key, source, *carry, "size", "source_size", "target", "copies", "taken")
+
+
+def repeat_taken(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with each row as many times as the mix takes it; rows of equal key go together.
+
+    Null and blank texts are never taken.
+    """
+    taken = mix_single_sources(docs, source, text, key, **options)
+    # Rows of one key share their place in the seeded order but for its ties; the count goes by key and text size.
+    counts = taken.groupBy(F.col(key).alias("_qw_k"), F.col("size").alias("_qw_n")).agg(F.max("copies").alias("_qw_copies")).where("_qw_copies > 0")
+    sized = docs.withColumn("_qw_n2", word_count(F.col(text)))
+    met = sized.join(counts, (sized[key].eqNullSafe(counts["_qw_k"])) & (F.col("_qw_n2") == F.col("_qw_n")))
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_qw_copies"))).alias("_qw_copy")).select(*docs.columns)
