@@ -61,7 +61,7 @@ def cast_to(x: Column, target: str, category: str) -> Column:
         return signed(x, category)
     if name == "UNSIGNED":
         whole = signed(x, category).cast("decimal(20,0)")
-        return F.when(whole < 0, whole + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(whole)
+        return F.when(whole < 0, whole + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole)
     if name == "DECIMAL":
         return decimal(x, category, *(sizes or [10, 0]))
     if name == "DATE":
