@@ -37,25 +37,22 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
-def window_hashes(hashes: Column, mask: tuple[int, ...], number: int) -> Column:
-    """The masked hash of the window at each position; an array shorter by the mask's reach.
+def window_starts(hashes: Column) -> Column:
+    """Every position that the masks can stand at; none in a text shorter than they reach."""
+    reach = max(m[-1] for m in MASKS)
+    return F.when(F.size(hashes) > reach, F.sequence(F.lit(0), F.size(hashes) - reach - 1)).otherwise(F.array().cast("array<int>"))
 
-    Sums of odd multiples stand for a hash of the chosen tokens: one multiplication
-    each, where xxhash64 in a lambda would box every value.
-    """
-    reach = mask[-1]
-    at = F.sequence(F.lit(0), F.size(hashes) - reach - 1)
-
-    def one(i: Column) -> Column:
-        return F.xxhash64(*[F.get(hashes, i + o) for o in mask], F.lit(number))
 
-    return F.when(F.size(hashes) > reach, F.transform(at, one)).otherwise(F.array().cast("array<bigint>"))
+def masked_hash(hashes: Column, at: Column, mask: tuple[int, ...], number: int) -> Column:
+    """The hash of the tokens that a mask looks at from a position on, and of the mask's number."""
+    return F.xxhash64(*[F.get(hashes, at + o) for o in mask], F.lit(number))
 
 
 def seeds(frame: DataFrame, hashes: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``pos`` (int) and ``h`` (long), a row for each window and mask."""
-    parts = [frame.select(*keep, F.posexplode(window_hashes(F.col(hashes), m, i)).alias("pos", "h")) for i, m in enumerate(MASKS)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    at = frame.select(*dict.fromkeys([*keep, hashes]), F.explode(window_starts(F.col(hashes))).alias("pos"))
+    both = [F.struct("pos", masked_hash(F.col(hashes), F.col("pos"), m, i).alias("h")) for i, m in enumerate(MASKS)]
+    return at.select(*keep, F.explode(F.array(*both)).alias("w")).select(*keep, "w.pos", "w.h")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", window: int = 20, least: int = 16, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -77,18 +74,23 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
 
     hashed = docs.select(F.col(doc_key).alias("_d"), token_hashes(F.col(text)).alias("_dh"))
     if small:
-        probes = F.broadcast(probes)
-        found = []
+        # One row per window; its hashes are taken after the explode, where generated code reads
+        # the document's array in place.  Either mask may hit, and only hits are kept.
+        rows = hashed.select("_d", "_dh", F.explode(window_starts(F.col("_dh"))).alias("dpos"))
         for i, m in enumerate(MASKS):
-            rows = hashed.select("_d", "_dh", F.posexplode(window_hashes(F.col("_dh"), m, i)).alias("dpos", "h"))
-            found.append(rows.join(probes, "h"))
-        hits = functools.reduce(DataFrame.unionByName, found)
+            rows = rows.withColumn(f"_h{i}", masked_hash(F.col("_dh"), F.col("dpos"), m, i))
+        for i in range(len(MASKS)):
+            rows = rows.join(F.broadcast(probes.select(F.col("h").alias(f"_h{i}"), F.col("sites").alias(f"_s{i}"))), f"_h{i}", "left")
+        found = [F.col(f"_s{i}") for i in range(len(MASKS))]
+        met = rows.where(functools.reduce(lambda a, b: a | b, [s.isNotNull() for s in found]))
+        kept = F.flatten(F.array_compact(F.array(*found)))
+        hits = met.select("_d", "_dh", "dpos", F.explode(kept).alias("s"))
     else:
         # Windows are joined by key without their texts, and texts looked up for the documents hit.
         rows = seeds(hashed, "_dh", ["_d"]).withColumnRenamed("pos", "dpos")
-        met = rows.join(probes.select("h"), "h", "left_semi").join(hashed, "_d")
-        hits = met.join(probes, "h")
-    hits = hits.select("_d", "_dh", "dpos", F.explode("sites").alias("s"))
+        met = rows.join(probes, "h").select("_d", "dpos", F.explode("sites").alias("s"))
+        found = hashed.withColumnRenamed("_d", "_d2")
+        hits = met.join(found, F.col("_d").eqNullSafe(F.col("_d2"))).select("_d", "_dh", "dpos", "s")
     hits = hits.select("_d", "_dh", F.col("s._i").alias("_i"), F.col("s._ih").alias("_ih"), (F.col("dpos") - F.col("s.pos")).alias("shift"))
 
     # Lay the item over the document: item token j stands at document token shift + j.
