@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +111,8 @@ OUT = T.StructType(
     ]
 )
 
+ARROW = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
 
 def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", bytes_per_range: int = 4 << 20, most_ranges: int = 4096) -> DataFrame:
     """Fingerprints of each text, of its edited form, and their likeness to each other and to the next text's.
@@ -129,7 +131,7 @@ def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str
     # Bytes place the cuts only; octet_length reads no Python.
     size = base.agg(F.sum(F.octet_length("t").cast("long")).alias("n")).first()["n"] or 0
     splits = range_splits(docs.select(F.col(key).cast("long").alias("k")), "k", int(min(most_ranges, max(1, size // bytes_per_range))))
-    ranged = base.withColumn("r", range_bucket(splits)(F.col("k")))
+    ranged = base.withColumn("r", range_bucket(F.col("k"), splits))
 
     # The row that follows a range's last one: the first (largest) of the next lower range that has rows.
     order = F.struct(F.coalesce("k", F.lit(-(1 << 63))), F.xxhash64("t"), F.col("t"))
@@ -147,17 +149,20 @@ def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str
     dealt = rows.repartition(max(len(heads), 1), "r").sortWithinPartitions("r", "tail", F.desc(F.coalesce("k", F.lit(-(1 << 63)))), F.desc(F.xxhash64("t")), F.desc("t"))
 
     def run(batches):
+        # One row at a time out of each Arrow batch: texts never stand in memory twice over.
         held = None
         out: list[tuple] = []
-        for pdf in batches:
-            for r, tail, k, t in zip(pdf["r"].tolist(), pdf["tail"].tolist(), pdf["k"], pdf["t"].tolist(), strict=True):
+        for batch in batches:
+            at = {name: batch.column(name) for name in ("r", "tail", "k", "t")}
+            for i in range(batch.num_rows):
+                r, tail, k, t = (at[name][i].as_py() for name in ("r", "tail", "k", "t"))
                 chunks = chunk_set(t)
                 if held is not None and held[0] == r:
                     out.append(finish(held, t, chunks))
                 held = None if tail else (r, k, t, chunks)
-            if len(out) >= 500:
-                yield frame(out)
-                out = []
+                if len(out) >= 200:
+                    yield frame(out)
+                    out = []
         if out:
             yield frame(out)
 
@@ -166,11 +171,9 @@ def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str
         changed = edited(own, t)
         theirs = chunk_set(changed)
         digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return (None if pd.isna(k) else int(k), len(own), digest, encode(mine), encode(theirs), containment(mine, theirs), containment(mine, chunks))
+        return k, len(own), digest, encode(mine), encode(theirs), containment(mine, theirs), containment(mine, chunks)
 
     def frame(out):
-        pdf = pd.DataFrame(out, columns=OUT.fieldNames())
-        pdf["doc_id"] = pd.array(pdf["doc_id"].tolist(), dtype="Int64")
-        return pdf
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW, strict=True)], names=OUT.fieldNames())
 
-    return dealt.mapInPandas(run, OUT)
+    return dealt.mapInArrow(run, OUT)

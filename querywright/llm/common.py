@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,13 +116,18 @@ def range_splits(df: DataFrame, key: str, parts: int, weight: str | None = None,
     return np.unique(keys[np.minimum(at, len(keys) - 1)])
 
 
-def range_bucket(splits: np.ndarray):
-    """A vectorised function from a nullable long key to its range; null goes to range 0."""
-    @F.pandas_udf("int")
-    def bucket(keys: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        out = np.zeros(len(keys), np.int32)
-        out[known] = np.searchsorted(splits, keys[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
+def range_bucket(key: Column, splits: np.ndarray) -> Column:
+    """The range of a nullable long key: how many splits are not above it; 0 for null.
 
-    return bucket
+    A binary search in halving steps over a literal array, so rows stay in the JVM.
+    """
+    n = len(splits)
+    if not n:
+        return F.lit(0)
+    points = F.lit(np.asarray(splits, np.int64))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def step(at: Column, s: Column) -> Column:
+        return F.when((at + s <= n) & (F.get(points, at + s - 1) <= key), at + s).otherwise(at)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))

@@ -172,11 +172,11 @@ def write_archives(pages: DataFrame, root: str, key: str = "page_id", url: str =
     total = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m")).first()
     parts = int(min(most_shards, max(1, total["n"] // shard_bytes)))
     splits = range_splits(told, "k", parts, "n")
-    bucket = range_bucket(splits)
+    bucket = range_bucket(F.col("k"), splits)
 
     # Payloads are shuffled once; a revisit's note sorts just before its row.
-    rows = base.select(bucket("k").alias("r"), "k", F.lit(1).alias("kind"), F.sha2("b", 256).alias("d"), F.lit(None).cast("long").alias("first"), "u", "b")
-    notes = revisits.select(bucket("k").alias("r"), "k", F.lit(0).alias("kind"), "d", "first", F.lit(None).cast("string").alias("u"), F.lit(None).cast("binary").alias("b"))
+    rows = base.select(bucket.alias("r"), "k", F.lit(1).alias("kind"), F.sha2("b", 256).alias("d"), F.lit(None).cast("long").alias("first"), "u", "b")
+    notes = revisits.select(bucket.alias("r"), "k", F.lit(0).alias("kind"), "d", "first", F.lit(None).cast("string").alias("u"), F.lit(None).cast("binary").alias("b"))
     dealt = rows.unionByName(notes).repartition(len(splits) + 1, "r").sortWithinPartitions("r", "k", "kind", "d", "u")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
