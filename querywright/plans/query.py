@@ -157,6 +157,9 @@ class Query:
         if order:
             df = df.orderBy(*order)
         df = _paged(df, spec).drop(*helpers)
+        for c in self.table.columns:
+            if c.cast is not None and c.name in df.columns:
+                df = df.withColumn(c.name, c.cast(F.col(c.name)))
         for name in _names(spec.get("with")):
             if self.table.relation(name):
                 df = relations.prefetch(ctx, df, name)

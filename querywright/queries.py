@@ -16,6 +16,7 @@ from querywright.plans.context import Options
 from querywright.plans.query import Query
 from querywright.tables import TABLES, sample_catalog
 from querywright.writes.items import Writer
+from querywright.writes.metadata import MetaWriter
 
 Spec = dict[str, Any]
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -455,6 +456,73 @@ def copy_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Writer(sample_catalog(spark, sf_dir), "region", options=OPTIONS).copied({"r_regionkey": 2}, {"r_regionkey": 72})
 
 
+_META_ROWS = "SELECT event_id AS meta_id, user_id AS customer_id, event_type AS meta_key FROM events"
+
+
+@query("meta_add", f"{_META_ROWS} UNION ALL SELECT max(event_id) + 1, 3, 'note' FROM events")
+def meta_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata(spark, sf_dir).add(3, "note", {"a": 1}).select("meta_id", "customer_id", "meta_key")
+
+
+@query("meta_add_unique", _META_ROWS)
+def meta_add_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata(spark, sf_dir).add(3, "click", "x", unique=True).select("meta_id", "customer_id", "meta_key")
+
+
+@query("meta_update", "SELECT event_id AS meta_id, user_id = 3 AND event_type = 'click' AS changed FROM events")
+def meta_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata(spark, sf_dir).update(3, "click", "changed").select("meta_id", (F.col("meta_value") == "changed").alias("changed"))
+
+
+@query("meta_delete", f"{_META_ROWS} WHERE NOT (user_id = 3 AND event_type = 'click')")
+def meta_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata(spark, sf_dir).delete(3, "click").select("meta_id", "customer_id", "meta_key")
+
+
+@query("meta_delete_everywhere", f"{_META_ROWS} WHERE event_type <> 'click'")
+def meta_delete_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metadata(spark, sf_dir).delete(None, "click", everywhere=True).select("meta_id", "customer_id", "meta_key")
+
+
+@query("meta_purge", f"{_META_ROWS} WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def meta_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Writer(sample_catalog(spark, sf_dir), "customer", options=OPTIONS).purged_metadata({"c_nationkey": 3}).select("meta_id", "customer_id", "meta_key")
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> MetaWriter:
+    catalog = sample_catalog(spark, sf_dir)
+    return MetaWriter(catalog, catalog.tables["customer"].meta)
+
+
+@query("temporary_table", "SELECT * FROM part WHERE p_size = 9")
+def temporary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    catalog = sample_catalog(spark, sf_dir)
+    catalog.add_temporary(replace(catalog.tables["part"], name="part_snapshot", by_name={}), catalog.frame("part"))
+    return Query(catalog, "part_snapshot", OPTIONS).query({"p_size": 9, "number": 0, "orderby": "none"})
+
+
+@query("prefetch_bounded", "SELECT c_custkey, least(count(o_orderkey), 2) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY 1")
+def prefetch_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querywright.plans.relations import prefetch
+
+    q = Query(sample_catalog(spark, sf_dir), "customer", OPTIONS)
+    rows = prefetch(q.context, q.matched({"c_nationkey": 3}), "orders", most=2)
+    return rows.select("c_custkey", F.size("orders").cast("bigint").alias("n"))
+
+
+@query("transitions", "SELECT o_orderkey, 'o_orderstatus' AS column, 'P' AS before, 'F' AS after FROM orders WHERE o_orderstatus = 'P'")
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    catalog = sample_catalog(spark, sf_dir)
+    status = replace(catalog.tables["orders"].column("o_orderstatus"), transition=True)
+    catalog.tables["orders"] = catalog.tables["orders"].with_columns(status)
+    w = Writer(catalog, "orders", options=OPTIONS)
+    return w.transitions(w.updated({"o_orderstatus": "P"}, {"o_orderstatus": "F"}))
+
+
 @query(
     "diff_patch",
     """SELECT * FROM (VALUES ('add_column', 'r_note'), ('drop_column', 'r_name'), ('modify_column', 'r_regionkey'), ('add_index', 'idx_note')) AS t(operation, subject)""",

@@ -19,6 +19,8 @@ from querywright.model.schema import ColumnSpec
 from querywright.plans.context import Options
 from querywright.plans.query import Query
 from querywright.sources.catalog import Catalog
+from querywright.writes.metadata import MetaWriter
+from querywright.writes.numbering import numbered
 from querywright.writes.store import ParquetStore
 from querywright.writes.values import default_of, new_uuid, validated
 
@@ -138,7 +140,7 @@ class Writer:
                 top = c.name
         if top:
             largest = self.rows.agg(F.coalesce(F.max(top), F.lit(0)).alias("_qw_top"))
-            ranked = kept.withColumn("_qw_n", F.row_number().over(Window.orderBy(top)))
+            ranked = numbered(kept, [top], "_qw_n")
             kept = ranked.crossJoin(F.broadcast(largest)).withColumn(top, F.col("_qw_top") + F.col("_qw_n")).drop("_qw_top", "_qw_n")
         return self.rows.unionByName(kept.select(*self.rows.columns))
 
@@ -185,6 +187,19 @@ class Writer:
         joined = rows.join(found, [rows[k].eqNullSafe(found[names[k]]) for k in keys], "left").drop(*names.values())
         return joined.withColumn("_qw_hit", F.coalesce("_qw_hit", F.lit(False)))
 
+    def extras(self, item: Mapping[str, Any]) -> dict[str, Any]:
+        """Those values of an item that no column takes; they are metadata where the table has a store."""
+        return {k: v for k, v in item.items() if self.spec.column(k) is None}
+
+    def with_extras(self, key: Any, item: Mapping[str, Any]) -> DataFrame:
+        """All metadata rows with the extra values of an item saved under its key; falsy ones delete theirs."""
+        return MetaWriter(self.catalog, self.spec.meta).save(key, self.extras(item))
+
+    def purged_metadata(self, spec: Mapping[str, Any]) -> DataFrame:
+        """All metadata rows without those of the matching rows, for when these are deleted."""
+        self._guarded(spec)
+        return MetaWriter(self.catalog, self.spec.meta).purge(self.reader.select_primary_keys(spec), self.spec.primary[0])
+
     def transitions(self, after: DataFrame) -> DataFrame:
         """(keys, column, before, after) of watched columns that differ between now and ``after``."""
         keys = list(self.spec.primary)

@@ -190,3 +190,11 @@ def test_concat_ws_greatest_and_formats(spark):
     assert len(FUNCTIONS) == 24
     day = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-02 04:05:06' AS t")
     assert day.select(format_date(F.col("t"), "%d.%c.%y %k:%i %p 100%% %D %w %j").alias("r")).first()["r"] == "02.3.24 4:05 AM 100% 2nd 6 062"
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    from querywright.writes.numbering import numbered
+
+    rows = numbered(spark.range(0, 5000, 3), ["id"], "n").collect()
+    assert sorted(r["n"] for r in rows) == list(range(1, len(rows) + 1))
+    assert numbered(spark.range(0), ["id"], "n").count() == 0
