@@ -15,10 +15,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, forgetting all when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -92,14 +93,14 @@ class Signer:
 
 
 def described(docs: DataFrame, key: str, text: str, bands: int, rows: int, n: int) -> DataFrame:
-    """(id, set_hash, n_grams, keys): one narrow row per document."""
+    """(id, th, set_hash, n_grams, keys): one narrow row per document; th is a hash of the text."""
 
     def run(batches):
         signer = Signer(bands, rows)
         last: dict[str, tuple] = {}
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for k, t in zip(pdf["id"].tolist(), pdf["t"].tolist(), strict=True):
+            for k, th, t in streamed(batch, "id", "th", "t"):
                 # Copies often stand near each other; a few results are kept by text.
                 got = last.get(t)
                 if got is None:
@@ -109,11 +110,32 @@ def described(docs: DataFrame, key: str, text: str, bands: int, rows: int, n: in
                     if len(last) > 256:
                         last.clear()
                     last[t] = got
-                out.append((k, *got))
-            yield pd.DataFrame(out, columns=["id", "set_hash", "n_grams", "keys"])
+                out.append((k, th, *got))
+                if len(out) >= 1000:
+                    yield told(out)
+                    out = []
+            if out:
+                yield told(out)
+
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "th", "set_hash", "n_grams", "keys"])
+
+    return known_texts(docs, key, text).mapInArrow(run, "id long, th long, set_hash string, n_grams int, keys array<long>")
 
+
+def streamed(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows of an Arrow batch, one at a time, so that its texts don't stand in memory twice."""
+    columns = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
+def known_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, t, th) of the rows with a key."""
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return known.mapInPandas(run, "id long, set_hash string, n_grams int, keys array<long>")
+    return known.withColumn("th", F.xxhash64("t"))
 
 
 class Forest:
@@ -165,22 +187,28 @@ def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """
 
     def run(batches):
-        at, held = None, []
-        for pdf in batches:
+        # Repeated rows of a document are held once.
+        at, held = None, {}
+        names = ("grp", "lo", "hi", "block", "id", "th", "copies", "t")
+        for batch in batches:
             out = []
-            for row in zip(pdf["grp"].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist(), pdf["block"].tolist(), pdf["id"].tolist(), pdf["copies"].tolist(), pdf["t"].tolist(), strict=True):
-                if row[:3] != at:
+            for grp, lo, hi, block, k, th, copies, t in streamed(batch, *names):
+                if (grp, lo, hi) != at:
                     if held:
                         out += settle(at, held)
-                    at, held = row[:3], []
-                held.append(row[3:6] + (ngram_set(row[6], n),))
+                    at, held = (grp, lo, hi), {}
+                if (k, th) not in held:
+                    held[k, th] = (block, k, copies, ngram_set(t, n))
             if out:
-                yield pd.DataFrame(out, columns=["id", "links", "root"])
-        if held:
-            yield pd.DataFrame(settle(at, held), columns=["id", "links", "root"])
+                yield told(out)
+        if held and (out := settle(at, held)):
+            yield told(out)
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["id", "links", "root"])
 
     def settle(at, held):
-        held = sorted(held, key=lambda x: x[1])
+        held = [held[k] for k in sorted(held)]
         block, ids, copies = np.array([x[0] for x in held]), [x[1] for x in held], np.array([x[2] for x in held], np.int64)
         same = at[1] == at[2]
         left = np.arange(len(held)) if same else np.flatnonzero(block == at[1])
@@ -201,7 +229,7 @@ def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 forest.join(i, j)
         return [(ids[i], int(links[i]), ids[forest.root(i)]) for i in range(len(held)) if links[i]]
 
-    return rows.mapInPandas(run, "id long, links long, root long")
+    return rows.mapInArrow(run, "id long, links long, root long")
 
 
 def similarity_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 512) -> DataFrame:
@@ -214,29 +242,27 @@ def similarity_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Defined results: documents with a null key are left out; texts without words
     (null counts as empty) are linked to equal texts only; repeated rows count as
-    copies; an empty table gives an empty result; other columns are left out.
+    copies; texts that share an id share its class and links; an empty table gives an empty result; other columns are left out.
     """
     bands, rows = choose_bands(threshold, recall)
     limit = Fraction(threshold).limit_denominator(1000)
     told = written(described(docs, key, text, bands, rows, n), "jaccard-sets")
-    classes = told.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max_by("keys", F.col("n_grams")).alias("keys"))
-    classes = written(classes, "jaccard-classes")
+    classes = told.groupBy("set_hash").agg(F.min(F.struct("id", "th")).alias("r"), F.count(F.lit(1)).alias("copies"), F.max_by("keys", F.col("n_grams")).alias("keys"))
+    classes = written(classes.select("set_hash", F.col("r.id").alias("rep"), F.col("r.th").alias("rep_th"), "copies", "keys"), "jaccard-classes")
 
     keys = classes.select("rep", F.explode("keys").alias("k"))
     shared = keys.groupBy("k").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = keys.join(shared, "k").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(stars)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    member = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
+    member = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), F.col("rep_th").alias("th"), "copies"), "node")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    member = member.select(F.col("node").alias("id"), F.col("root").alias("grp"), "copies", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"))
+    member = member.select(F.col("node").alias("id"), "th", F.col("root").alias("grp"), "copies", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"))
 
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    wanted = texts.join(member, "id")
+    wanted = known_texts(docs, key, text).join(member, ["id", "th"])
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    pairs = wanted.select("*", other).select("grp", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "id", "copies", "t")
-    # A repeated id would stand twice in a block; its rows are one class or differ in text, and then the first by text stands.
-    pairs = pairs.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
+    pairs = wanted.select("*", other).select("grp", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "id", "th", "copies", "t")
+    pairs = pairs.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id", "th")
     found = written(check_blocks(pairs, n, limit), "jaccard-links")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
