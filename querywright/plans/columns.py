@@ -153,7 +153,7 @@ def compare_filters(ctx: Context, spec: Mapping[str, Any]) -> Pred | None:
     """``compare_query`` and the ``{column}_compare`` shorthands, all of which apply."""
     found = [compare_tree(ctx, spec["compare_query"])] if spec.get("compare_query") else []
     for key, value in spec.items():
-        if not key.endswith("_compare") or key in spec.get("_not_shorthand", ()):
+        if not key.endswith("_compare"):
             continue
         column = ctx.table.column(key.removesuffix("_compare"))
         if column is None or not column.compare or value is None:

@@ -44,7 +44,7 @@ def relative_date(text: str, now: datetime) -> datetime | None:
     for name in fixed:
         if words.startswith(name + " "):
             at, rest = fixed[name], words[len(name) :].strip()
-    if not RELATIVE.fullmatch(re.sub(RELATIVE, "1 day", rest, count=0)) and RELATIVE.sub("", rest).strip():
+    if RELATIVE.sub("", rest).strip():
         return None
     found = list(RELATIVE.finditer(rest))
     if not found:

@@ -21,7 +21,7 @@ from querywright.plans import aggregates, columns, dates, meta, relations
 from querywright.plans.context import Context, Options
 from querywright.plans.criteria import BUCKETS, Bucket, combine_buckets
 from querywright.plans.ordering import order_rows
-from querywright.plans.pred import Pred, apply, never
+from querywright.plans.pred import Pred, apply, group, never
 from querywright.sources.catalog import Catalog
 
 PAGE = 100
@@ -110,7 +110,7 @@ class Query:
             "relation": relation,
         }
         if members is not None:
-            found["in"] = columns.group("AND", [found["in"], members])
+            found["in"] = group("AND", [found["in"], members])
         buckets = {n: Bucket(found[n], joins and n == "relation") for n in BUCKETS}
         buckets |= {n: Bucket(parse(ctx, spec)) for n, parse in self.hooks.parsers.items()}
         return combine_buckets(ctx, buckets, spec.get("criteria"))
