@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,24 @@ def load_pieces(path: str) -> list[str]:
     pieces = {sp.id_to_piece(i).lower() for i in ids}
     return sorted(p for p in pieces if p and len(p) <= LONGEST_PIECE)
 
+#: Of the rolling hash: an odd multiplier, a value that stands for no hash, a table without pieces.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+NO_PIECES = (np.array([NEVER]), np.zeros(1, np.int32))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def piece_hashes(pieces: list[str]) -> np.ndarray:
+    """The rolling hashes of pieces of one length."""
+    codes = code_points("".join(pieces)).reshape(len(pieces), -1)
+    h = np.zeros(len(pieces), np.uint64)
+    for k in range(codes.shape[1]):
+        h = h * BASE + codes[:, k]
+    return h
+
 
 @dataclass
 class UnigramModel:
@@ -53,55 +73,79 @@ class UnigramModel:
     langs: list[str]
     prob: np.ndarray
     prior: np.ndarray
-    limit: int = 300_000
-    seen: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    limit: int = 100_000
+    seen: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.index = {p: i for i, p in enumerate(self.pieces, start=2)}
+        self.longest = max(map(len, self.pieces), default=1)
+        self.by_length = {}
+        for size in range(1, self.longest + 1):
+            rows = np.array([self.index[p] for p in self.pieces if len(p) == size], np.int32)
+            if len(rows):
+                hashes = piece_hashes([p for p in self.pieces if len(p) == size])
+                order = np.argsort(hashes)
+                # A last entry that nothing equals keeps searches inside.
+                self.by_length[size] = (np.append(hashes[order], NEVER), np.append(rows[order], 0))
+        self.known = np.empty((0, len(self.langs)))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "index")} | {"seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "index", "known", "longest", "by_length")} | {"seen": {}}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
-    def ids(self, words: list[str], i: int, j: int) -> np.ndarray:
-        """The piece at [i, j) of each word, the words being of equal length."""
-        get, missing = self.index.get, int(j == i + 1)
-        return np.fromiter((get(w[i:j], missing) for w in words), np.int32, len(words))
+    def cuts(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(i, j, pieces at [i, j) of each word) for words of one length, by i; only where some word has a piece.
+
+        Substrings are looked up by a rolling hash of their code points among the
+        sorted hashes of the pieces of that length.
+        """
+        n = len(words[0])
+        codes = code_points("".join(words)).reshape(len(words), n)
+        for i in range(n):
+            h = np.zeros(len(words), np.uint64)
+            for size in range(1, min(self.longest, n - i) + 1):
+                h = h * BASE + codes[:, i + size - 1]
+                hashes, rows = self.by_length.get(size, NO_PIECES)
+                at = np.searchsorted(hashes, h)
+                found = hashes[at] == h
+                if size == 1:
+                    yield i, i + 1, np.where(found, rows[at], 1)
+                elif found.any():
+                    yield i, i + size, np.where(found, rows[at], 0)
 
     def forward(self, words: list[str]) -> np.ndarray:
         """log P(word | language) for words of one length; languages in columns."""
         n, shape = len(words[0]), (len(words), len(self.langs))
-        at = [np.ones(shape)]
-        log_scale = np.zeros(shape[0])
-        for j in range(1, n + 1):
-            first = max(0, j - LONGEST_PIECE)
-            total = np.zeros(shape)
-            for i in range(first, j):
-                ids = self.ids(words, i, j)
-                if ids.any():
-                    total += at[i - j] * self.prob[ids]
-            at.append(total)
-            at = at[-LONGEST_PIECE - 1 :]
-            if n >= SCALED_FROM:
-                top = total.max(axis=1)
-                log_scale += np.log(top)
-                at = [a / top[:, None] for a in at]
-        return np.log(at[-1]) + log_scale[:, None]
+        ahead = [np.ones(shape)] + [np.zeros(shape) for _ in range(self.longest)]
+        log_scale, at = np.zeros((shape[0], 1)), 0
+        for i, j, ids in self.cuts(words):
+            while at < i:
+                # All that ends at the next position is summed up; values before it are done with.
+                ahead = [*ahead[1:], np.zeros(shape)]
+                at += 1
+                if n >= SCALED_FROM:
+                    top = ahead[0].max(axis=1, keepdims=True)
+                    log_scale += np.log(top)
+                    ahead = [x / top for x in ahead]
+            ahead[j - i] += ahead[0] * self.prob[ids]
+        return np.log(ahead[n - at]) + log_scale
 
     def learn_words(self, words: set[str]) -> None:
-        """Add to the memory what it lacks of ``words``; it holds ``limit`` words at most."""
+        """Add to the memory what it lacks of ``words``: a row of ``known`` for each."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(MARK + w)
-        if len(self.seen) + len(words) > self.limit:
-            self.seen.clear()
+        rows = [self.known[: len(self.seen)]]
         for same in by_length.values():
-            for lo in range(0, len(same), 20_000):
-                part = same[lo : lo + 20_000]
-                self.seen.update(zip((w[1:] for w in part), self.forward(part), strict=True))
+            for lo in range(0, len(same), 5_000):
+                part = same[lo : lo + 5_000]
+                rows.append(self.forward(part))
+                at = len(self.seen)
+                self.seen.update(zip((w[1:] for w in part), range(at, at + len(part)), strict=True))
+        self.known = np.concatenate(rows)
 
     def log_likelihoods(self, texts: list[str]) -> np.ndarray:
         """One row for each text, one column for each language; texts without letters give zeros."""
@@ -112,8 +156,8 @@ class UnigramModel:
         def settle():
             self.learn_words(fresh)
             for k, counts in pending:
-                table = np.array([self.seen[w] for w in counts])
-                out[k] = np.fromiter(counts.values(), np.float64, len(counts)) @ table
+                rows = np.fromiter(map(self.seen.__getitem__, counts), np.int64, len(counts))
+                out[k] = np.fromiter(counts.values(), np.float64, len(counts)) @ self.known[rows]
             pending.clear()
             fresh.clear()
 
@@ -122,14 +166,16 @@ class UnigramModel:
             if not counts:
                 continue
             pending.append((k, counts))
-            fresh.update(w for w in counts if w not in self.seen)
-            if len(fresh) > 40_000 or len(self.seen) + len(fresh) > self.limit:
-                # Clearing the memory may drop words that pending texts rely on.
+            fresh.update([w for w in counts if w not in self.seen])
+            if len(fresh) > 20_000 or len(self.seen) + len(fresh) > self.limit:
+                # Starting afresh drops words that pending texts rely on; they are learnt again.
                 if len(self.seen) + len(fresh) > self.limit:
                     self.seen.clear()
                     fresh.update(w for _, c in pending for w in c)
                 settle()
         settle()
+        if len(self.seen) > self.limit:  # a single text may have more words
+            self.seen.clear()
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -158,8 +204,7 @@ def expected_counts(model: UnigramModel, words: list[str], counts: np.ndarray) -
         for lo in range(0, len(rows), 5_000):
             part = rows[lo : lo + 5_000]
             same, weight = [words[k] for k in part], counts[part]
-            cuts = {(i, j): model.ids(same, i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST_PIECE), j)}
-            cuts = {k: v for k, v in cuts.items() if v.any()}
+            cuts = {(i, j): ids for i, j, ids in model.cuts(same)}
             shape = (len(same), len(model.langs))
             fwd, bwd = [np.zeros(shape) for _ in range(n + 1)], [np.zeros(shape) for _ in range(n + 1)]
             fwd[0][:] = 1
@@ -237,11 +282,17 @@ def predict(spark: SparkSession, text: Column, model: UnigramModel | None) -> Co
         return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        # A copy would lose the words that the worker has met; the broadcast value is one object for each worker.
-        names, scores = sent.value.predict(list(texts))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def run(texts: pa.Array) -> pa.Array:
+        # The broadcast value is one object for each worker, so words met are kept; texts are
+        # taken out of the batch some at a time.
+        names, scores = [], []
+        for lo in range(0, len(texts), 256):
+            some = sent.value.predict(texts[lo : lo + 256].to_pylist())
+            names += some[0]
+            scores += some[1].tolist()
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    run = F.arrow_udf(run, "lang_pred string, score double")
 
     return run(text)
 
