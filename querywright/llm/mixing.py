@@ -150,6 +150,28 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     return placed.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col(size)).cast("long")).select(*keep, "copies", "taken")
 
 
+def mix_by_membership(docs: DataFrame, members: str, size: str, targets: dict[str, float], most_copies: int = 2, key: str = "doc_id", seed: int = 4) -> DataFrame:
+    """Mix documents that may belong to several sources: ``docs`` with ``copies`` and ``taken``.
+
+    ``members`` names an array column of sources, ``size`` a column of token counts,
+    ``targets`` gives each source its quota.  Documents of one membership pattern are
+    alike to the flow, whose network is as large as the number of patterns; that
+    number is collected, the documents are not.
+
+    Defined results: a null or empty membership, null members and sources without a
+    target take no part, so such documents have 0 copies; a source whose documents do
+    not reach its quota at ``most_copies`` copies falls short of it.
+    """
+    named = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(members), F.array().cast("array<string>")))))
+    held = docs.withColumn("_qw_pattern", named)
+    sizes = held.groupBy("_qw_pattern").agg(F.sum(size).alias("n")).collect()
+    flows = route({tuple(r["_qw_pattern"]): r["n"] or 0 for r in sizes}, targets, most_copies)
+    total: dict[tuple[str, ...], float] = {tuple(r["_qw_pattern"]): 0.0 for r in sizes}
+    for (p, _), f in flows.items():
+        total[p] += f
+    return mix(held, total, "_qw_pattern", size, key, seed).drop("_qw_pattern")
+
+
 def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mix documents that belong to one source each, weights going round ``cycle`` over the sorted sources.
 
@@ -166,11 +188,8 @@ def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "tex
     sizes = sorted(((r["_qw_mark"], r["n"]) for r in per_source), key=lambda x: x[0])
     weights = [float(cycle[i % len(cycle)]) for i in range(len(sizes))]
     targets = capped_targets(sizes, weights, share, cap)
-    flow = route({(m,): n for m, n in sizes}, {m: t for (m, _), t in zip(sizes, targets, strict=True)}, copies=max(1, int(cap)))
-    total: dict[tuple[str, ...], float] = {}
-    for (p, _), f in flow.items():
-        total[p] = total.get(p, 0.0) + f
-    mixed = mix(sized.withColumn("_qw_pattern", F.array("_qw_mark")), total, "_qw_pattern", "size", key, seed)
+    quotas = {m: t for (m, _), t in zip(sizes, targets, strict=True)}
+    mixed = mix_by_membership(sized.withColumn("_qw_of", F.array("_qw_mark")), "_qw_of", "size", quotas, max(1, int(cap)), key, seed)
     spark = docs.sparkSession
     info = spark.createDataFrame([(m, n, t) for (m, n), t in zip(sizes, targets, strict=True)], "_qw_mark string, source_size long, target double")
     return mixed.join(info, "_qw_mark", "left").select(key, source, *carry, "size", "source_size", "target", "copies", "taken")
