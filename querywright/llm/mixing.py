@@ -124,9 +124,10 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     """``docs`` with ``copies`` (int) and ``taken`` (long): documents in seeded order until a pattern's flow is met.
 
     ``pattern`` names an array column of sorted sources.  A flow F over a pattern of
-    S tokens takes every document floor(F / S) times and, once more, those whose
-    middle lies before the rest of F in the seeded order.  Documents of equal key
-    and size share a place in that order and are ordered as equal rows are.
+    S tokens takes every document floor(F / S) times and, once more, those that fit
+    into the rest of F in the seeded order; the gap that these leave is filled by
+    the document whose size comes nearest to it.  Documents of equal key and size
+    are ordered as equal rows are.
     Columns named ``copies`` or ``taken`` are replaced.
     """
     spark = docs.sparkSession
@@ -144,10 +145,19 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     inside = Window.partitionBy("_qw_p", "_qw_c").orderBy("_qw_o", F.col(key), size).rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_qw_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(before, ["_qw_p", "_qw_c"], "left")
     whole = F.when(F.col("_qw_s") > 0, F.floor(F.col("_qw_f") / F.col("_qw_s") + 1e-9)).otherwise(F.lit(0))
-    middle = F.col("_qw_before") + F.col("_qw_in") + F.col(size) / 2
-    once_more = F.when(middle < F.col("_qw_f") - whole * F.col("_qw_s"), 1).otherwise(0)
-    copies = F.coalesce(F.when(F.col(size) > 0, whole + once_more), F.lit(0)).cast("int")
-    return placed.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col(size)).cast("long")).select(*keep, "copies", "taken")
+    placed = placed.withColumn("_qw_whole", F.coalesce(whole, F.lit(0))).withColumn("_qw_rest", F.coalesce(F.col("_qw_f") - F.col("_qw_whole") * F.col("_qw_s"), F.lit(0.0)))
+    # A document's end in the order is its own, since taken ones have a size; it names the document below.
+    placed = written(placed.withColumn("_qw_end", F.col("_qw_before") + F.col("_qw_in") + F.col(size)).drop("_qw_c", "_qw_o", "_qw_in", "_qw_before", "_qw_f"), "mix-order")
+
+    fits = (F.col(size) > 0) & (F.col("_qw_end") <= F.col("_qw_rest") + 1e-6)
+    gaps = placed.groupBy("_qw_p").agg((F.max("_qw_rest") - F.coalesce(F.max(F.when(fits, F.col("_qw_end"))), F.lit(0))).alias("_qw_gap"))
+    off = F.abs(F.col(size) - F.col("_qw_gap"))
+    last = placed.where(~fits & (F.col(size) > 0)).join(gaps, "_qw_p").where(off < F.col("_qw_gap"))
+    last = last.groupBy("_qw_p").agg(F.min(F.struct(off.alias("off"), F.col("_qw_end").alias("end"))).alias("l")).select("_qw_p", F.col("l.end").alias("_qw_last"))
+    once_more = F.when(fits | F.coalesce(F.col("_qw_end") == F.col("_qw_last"), F.lit(False)), 1).otherwise(0)
+    copies = F.when(F.col(size) > 0, F.col("_qw_whole") + once_more).otherwise(0).cast("int")
+    chosen = placed.join(last, "_qw_p", "left").withColumn("copies", copies)
+    return chosen.withColumn("taken", (F.col("copies") * F.coalesce(F.col(size), F.lit(0))).cast("long")).select(*keep, "copies", "taken")
 
 
 def mix_by_membership(docs: DataFrame, members: str, size: str, targets: dict[str, float], most_copies: int = 2, key: str = "doc_id", seed: int = 4) -> DataFrame:
@@ -179,7 +189,7 @@ def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "tex
     Sources sort by code point, null last.  Null and blank texts have size 0 and are
     never taken; sources without words get target 0.
     """
-    # UTF-8 bytes sort as code points do.  An array holds the pattern; a null source gets a mark of its own.
+    # UTF-8 bytes sort as code points do; a null source gets a mark of its own.
     mark = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
     sized = docs.select(F.col(key), F.col(source), *carry, word_count(F.col(text)).alias("size"), mark.alias("_qw_mark"))
     if not carry:
