@@ -108,7 +108,8 @@ def range_splits(df: DataFrame, key: str, parts: int, weight: str | None = None,
         return np.empty(0, np.int64)
     every = max(1, rows // sample)
     picked = df.select(*cols).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0))
-    table = picked.toPandas().sort_values([key, "w"])
+    # One row for each key, however often it is repeated.
+    table = picked.groupBy(key).agg(F.sum("w").alias("w")).toPandas().sort_values(key)
     keys, mass = table[key].to_numpy(np.int64), table["w"].to_numpy(np.float64).cumsum()
     if not len(keys):
         return np.empty(0, np.int64)

@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from querywright.llm.common import written
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-STEM = 5
+STEMS = (4, 5, 6)
 
 
 def features_of(text: str) -> set[str]:
-    """Distinct lower-case words, and ``stem*`` for each word longer than the stem."""
+    """Distinct lower-case words, and their first 4, 5 and 6 letters with a star where they have more."""
     words = set(WORDS.findall(text.lower()))
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
@@ -47,8 +47,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.cuts[None, :], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, rounds: int = 300, ridge: float = 2e-4, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Penalised maximum likelihood by Adam on all rows at once.
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, rounds: int = 500, ridge: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Penalised maximum likelihood by Adam on all rows at once, the step falling to nothing.
 
     The thresholds are kept in order by writing them as a first one and positive
     steps.
@@ -83,7 +83,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: i
         for x, g, a, b in zip(both, (g_w, g_theta), m, v, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
-            x -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+            x -= rate * (1 - t / (rounds + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
     steps = np.log1p(np.exp(theta[1:]))
     return w, np.concatenate([theta[:1], theta[0] + np.cumsum(steps)])
 
@@ -92,17 +92,19 @@ def grades_from_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, grade): 0 not toxic, 1 toxic, 2 toxic in a text of low quality.
 
     The labels say toxic or not only; low quality stands for the graver case.  Rows
-    without a toxic label are left out; a null quality counts as good.
+    without a toxic label are left out, repeated ones stand once; a null quality
+    counts as good.
     """
     grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)
-    return labels.where(F.col("toxic").isNotNull()).select(key, grade.alias("grade"))
+    return labels.where(F.col("toxic").isNotNull()).select(key, grade.alias("grade")).distinct()
 
 
-def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", n_grades: int = 3, sample_rows: int = 12_000, least_docs: int = 4, n_features: int = 30_000, seed: int = 1) -> OrdinalModel | None:
+def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", n_grades: int = 3, sample_rows: int = 16_000, least_docs: int = 4, least_lift: float = 4.0, n_features: int = 6_000, seed: int = 1) -> OrdinalModel | None:
     """Fit on the texts of a seeded sample of about ``sample_rows`` graded rows; None if it holds fewer than two grades.
 
-    Kept are the ``n_features`` features whose presence differs most between
-    grade 0 and the others, of those in ``least_docs`` sampled rows at least.
+    Kept are the ``n_features`` features whose presence differs most between grade 0
+    and the others, of those in ``least_docs`` sampled rows at least and off by
+    ``least_lift`` standard deviations at least; others would only be fitted to chance.
     Null texts count as empty, rows of null grade are left out.
     """
     grades = grades.where(F.col(grade).isNotNull())
@@ -124,7 +126,7 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "
         return None
     rows_n, base = sum(by_grade.values()), 1 - by_grade.get(0, 0) / sum(by_grade.values())
     lift = F.abs(F.col("up") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base) + 1e-9)
-    chosen = [r["f"] for r in seen.where(F.col("n") >= min(least_docs, rows_n)).orderBy(F.desc(lift), "f").limit(n_features).select("f").collect()]
+    chosen = [r["f"] for r in seen.where((F.col("n") >= min(least_docs, rows_n)) & (lift >= least_lift)).orderBy(F.desc(lift), "f").limit(n_features).select("f").collect()]
     place = {f: i for i, f in enumerate(chosen)}
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
