@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm import bpe_count, cdc, html_blocks, interleave, jaccard, langid, mixing, ordinal, spaced, warc
+from querywright.llm import bpe_count, cdc, html_blocks, interleave, jaccard, langid, mixing, oracle, ordinal, spaced, warc
 from querywright.llm.common import read_table
 
 TOKEN_LIMIT = 512
@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)

@@ -55,7 +55,7 @@ def seeds(frame: DataFrame, hashes: str, keep: list[str]) -> DataFrame:
     return at.select(*keep, F.explode(F.array(*both)).alias("w")).select(*keep, "w.pos", "w.h")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", window: int = 20, least: int = 16, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", window: int = 13, least: int = 11, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_key, item_key, matched int, compared int, doc_pos int, item_pos int): each document's best run with each item.
 
     ``matched`` of ``compared`` aligned tokens agree; the positions are those of the
@@ -66,11 +66,12 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     keys are kept as keys; runs that tie are settled by the smallest positions; an
     empty table on either side gives an empty result.
     """
-    spark_items = items.select(F.col(item_key).alias("_i"), token_hashes(F.col(item_text)).alias("_ih")).where(F.size("_ih") > 0).distinct()
-    probes = seeds(spark_items, "_ih", ["_i", "_ih"])
+    tests = items.select(F.col(item_key).alias("_i"), token_hashes(F.col(item_text)).alias("_ih")).where(F.size("_ih") > 0).distinct()
+    # Items that share a key but differ in text are told apart by a number of their own.
+    tests = tests.withColumn("_u", F.xxhash64("_i", "_ih"))
     # Equal windows of one item at other places are kept: each place has its own alignment.
-    probes = probes.groupBy("h").agg(F.collect_list(F.struct("_i", "pos", "_ih")).alias("sites"))
-    small = spark_items.agg(F.coalesce(F.sum(F.size("_ih")), F.lit(0)).alias("n")).first()["n"] * len(MASKS) <= most_broadcast
+    probes = seeds(tests, "_ih", ["_u"]).groupBy("h").agg(F.collect_list(F.struct("_u", "pos")).alias("sites"))
+    small = tests.agg(F.coalesce(F.sum(F.size("_ih")), F.lit(0)).alias("n")).first()["n"] * len(MASKS) <= most_broadcast
 
     hashed = docs.select(F.col(doc_key).alias("_d"), token_hashes(F.col(text)).alias("_dh"))
     if small:
@@ -91,7 +92,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
         met = rows.join(probes, "h").select("_d", "dpos", F.explode("sites").alias("s"))
         found = hashed.withColumnRenamed("_d", "_d2")
         hits = met.join(found, F.col("_d").eqNullSafe(F.col("_d2"))).select("_d", "_dh", "dpos", "s")
-    hits = hits.select("_d", "_dh", F.col("s._i").alias("_i"), F.col("s._ih").alias("_ih"), (F.col("dpos") - F.col("s.pos")).alias("shift"))
+    hits = hits.select("_d", "_dh", F.col("s._u").alias("_u"), (F.col("dpos") - F.col("s.pos")).alias("shift"))
+    # The items' tokens are fewer than their windows, so they go the same way.
+    hits = hits.join(F.broadcast(tests) if small else tests, "_u")
 
     # Lay the item over the document: item token j stands at document token shift + j.
     first, n = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("_ih"), F.size("_dh") - F.col("shift"))
