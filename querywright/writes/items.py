@@ -88,6 +88,10 @@ class Writer:
             return F.when(given.isNotNull(), validated(c, given)).otherwise(new_uuid()) if given is not None else new_uuid()
         return None
 
+    def _largest(self, name: str) -> Column:
+        """The largest value of a column so far, 0 without any: a scalar subquery of the plan."""
+        return self.rows.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
+
     def new_rows(self, items: Sequence[Mapping[str, Any]]) -> DataFrame:
         """Complete rows from partial ones: defaults, stamps, checks, numbers."""
         given = self._given([{k: v for k, v in i.items() if k not in self.denied} for i in items])
@@ -99,13 +103,9 @@ class Writer:
             if value is None:
                 value = default_of(c) if x is None else F.when(has, validated(c, x)).otherwise(default_of(c))
                 if c.extra == "auto_increment":
-                    top = self.rows.agg(F.coalesce(F.max(c.name), F.lit(0)).alias("_qw_top"))
-                    if "_qw_top" not in given.columns:
-                        # One row with the largest key; the new rows are a small list.
-                        given = given.crossJoin(F.broadcast(top))
                     missing = F.lit(True) if x is None else F.coalesce(value, F.lit(0)) == 0
                     n = F.sum(F.when(missing, 1).otherwise(0)).over(Window.orderBy("_qw_at"))
-                    value = F.when(missing, F.col("_qw_top") + n).otherwise(F.lit(None) if x is None else value)
+                    value = F.when(missing, self._largest(c.name) + n).otherwise(F.lit(None) if x is None else value)
             if c.intercept is not None:
                 value = c.intercept(value, "insert")
             out.append(value.cast(c.spark_type).alias(c.name))
@@ -139,9 +139,7 @@ class Writer:
             elif c.extra == "auto_increment":
                 top = c.name
         if top:
-            largest = self.rows.agg(F.coalesce(F.max(top), F.lit(0)).alias("_qw_top"))
-            ranked = numbered(kept, [top], "_qw_n")
-            kept = ranked.crossJoin(F.broadcast(largest)).withColumn(top, F.col("_qw_top") + F.col("_qw_n")).drop("_qw_top", "_qw_n")
+            kept = numbered(kept, [top], "_qw_n").withColumn(top, self._largest(top) + F.col("_qw_n")).drop("_qw_n")
         return self.rows.unionByName(kept.select(*self.rows.columns))
 
     def updated(self, spec: Mapping[str, Any], changes: Mapping[str, Any]) -> DataFrame:

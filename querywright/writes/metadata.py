@@ -81,7 +81,8 @@ class MetaWriter:
         if not items:
             return kept
         s, spark = self.spec, self.catalog.spark
-        new = spark.createDataFrame(items, "k string, v string").crossJoin(F.broadcast(self.rows.agg(F.coalesce(F.max(s.id), F.lit(0)).alias("top"))))
-        ranked = new.withColumn("n", F.row_number().over(Window.orderBy("k")))
-        rows = ranked.select((F.col("top") + F.col("n")).alias(s.id), F.lit(object_id).alias(s.object_id), F.col("k").alias(s.key), F.col("v").alias(s.value))
+        top = self.rows.agg(F.coalesce(F.max(s.id), F.lit(0))).scalar()
+        # The new pairs are a short list from the caller.
+        ranked = spark.createDataFrame(items, "k string, v string").withColumn("n", F.row_number().over(Window.orderBy("k")))
+        rows = ranked.select((top + F.col("n")).alias(s.id), F.lit(object_id).alias(s.object_id), F.col("k").alias(s.key), F.col("v").alias(s.value))
         return kept.unionByName(rows.select(*[F.col(n).cast(t).alias(n) for n, t in kept.dtypes]))
