@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -69,6 +70,15 @@ class StoredTable:
     def status(self) -> dict[str, Any]:
         return {"name": self.spec.name, "rows": self.count(), "version": self.store.version()}
 
+    def foreign_keys(self) -> list[str]:
+        """The enforced relations as constraint clauses; Parquet tables don't check them, ``plans.relations.integrity`` does."""
+        out = []
+        for r in self.spec.relations:
+            if r.enforce and r.type == "belongs_to":
+                rules = "".join(f" ON {event} {rule.upper()}" for event, rule in (("DELETE", r.on_delete), ("UPDATE", r.on_update)) if rule)
+                out.append(f"FOREIGN KEY ({', '.join(r.columns)}) REFERENCES {r.table} ({', '.join(r.references)}){rules}")
+        return out
+
     def create_sql(self) -> str:
         body = ", ".join(f"{c.name} {c.spark_type.simpleString()}{'' if c.allow_null else ' NOT NULL'}" for c in self.spec.columns)
         return f"CREATE TABLE {self.spec.name} ({body}) USING parquet"
@@ -111,17 +121,39 @@ class Migrations:
 
     upgrades: Mapping[int, Callable[[StoredTable], bool | None]]
     versions: dict[str, int] = field(default_factory=dict)
+    locks: dict[str, float] = field(default_factory=dict)
+    lock_seconds: float = 900.0
 
     def pending(self, table: StoredTable) -> list[int]:
         return sorted(v for v in self.upgrades if v > self.versions.get(table.spec.name, 0))
 
-    def run(self, table: StoredTable) -> list[int]:
-        done = []
-        for v in self.pending(table):
-            if self.upgrades[v](table) is False:
-                break
-            self.versions[table.spec.name] = v
-            done.append(v)
+    def lock(self, name: str) -> bool:
+        """Take a table's upgrade lock; false while another holder's is younger than ``lock_seconds``."""
+        now = time.monotonic()
+        if now - self.locks.get(name, -self.lock_seconds) < self.lock_seconds:
+            return False
+        self.locks[name] = now
+        return True
+
+    def run(self, table: StoredTable, declared: TableSpec | None = None) -> list[int]:
+        """The versions that ran; none under another's lock.
+
+        With nothing pending, a declaration that is given is reconciled instead.
+        """
+        name, done = table.spec.name, []
+        if not self.lock(name):
+            return done
+        try:
+            pending = self.pending(table)
+            for v in pending:
+                if self.upgrades[v](table) is False:
+                    break
+                self.versions[name] = v
+                done.append(v)
+            if not pending and declared is not None:
+                table.reconcile(declared)
+        finally:
+            self.locks.pop(name, None)
         return done
 
     def install(self, table: StoredTable) -> bool:

@@ -10,7 +10,7 @@ from querywright.functions.casts import cast_to
 from querywright.functions.json_values import checked, decoded
 from querywright.model.presets import created, current_timestamp, identifier, modified, uuid
 from querywright.model.schema import ColumnSpec as C
-from querywright.model.schema import IndexSpec, TableSpec, clean_cast, parse_declared
+from querywright.model.schema import IndexSpec, RelationSpec, TableSpec, clean_cast, parse_declared
 from querywright.model.validation import schema_errors
 from querywright.plans.context import Options
 from querywright.plans.query import Query
@@ -141,9 +141,17 @@ def test_migrations_stop_at_a_failure(spark, tmp_path):
     m = Migrations({3: lambda x: False, 1: lambda x: ran.append(1), 2: lambda x: ran.append(2)})
     t.create()
     assert m.run(t) == [1, 2] and ran == [1, 2] and m.pending(t) == [3]
+    assert m.lock("widget") and not m.lock("widget") and m.run(t) == []
+    m.locks["widget"] -= 1000
+    assert m.run(t) == [] and m.lock("widget")
     assert m.uninstall(t) and m.install(t) and m.pending(t) == []
 
 
+def test_foreign_keys_are_told(spark, tmp_path):
+    spec = TableSpec("o", (C("id", "bigint", primary=True), C("c", "bigint")), relations=(RelationSpec("owner", "customer", "belongs_to", ("c",), ("id",), enforce=True, on_delete="cascade"),))
+    assert StoredTable(spark, spec, ParquetStore(spark, str(tmp_path / "o"))).foreign_keys() == ["FOREIGN KEY (c) REFERENCES customer (id) ON DELETE CASCADE"]
+
+
 def test_declarations():
     assert parse_declared("decimal(10,2) unsigned") == ("decimal", 10, 2, True)
     assert clean_cast("decimal( 10, 2 )") == "DECIMAL(10,2)" and clean_cast("varchar(3)") is None
