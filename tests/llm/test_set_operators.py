@@ -209,6 +209,12 @@ def test_components_of_a_long_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("path", [[*range(1, 500), 0], random.Random(3).sample(range(500), 500)], ids=["smallest last", "shuffled"])
+def test_components_of_wide_paths(spark, path):
+    edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")
+    assert {tuple(r) for r in components(edges).collect()} == {(x, 0) for x in path}
+
+
 def brute_overlaps(docs, items, window=13, least=11):
     import regex
 
