@@ -5,7 +5,8 @@ its length, its share of stop words and its share of linked characters; short
 blocks that this cannot settle are left open.  The second pass gives an open block
 the label of its nearest decided neighbours.  Blocks inside elements that never
 hold article text (menus, forms, scripts and the like) are dropped as they are
-met, and a page that marks its article is read there only.
+met.  Every block is judged in this way; a marked article or main part is preferred
+to the rest of the page only where it holds at least half of the good text.
 """
 
 from __future__ import annotations
@@ -181,15 +182,15 @@ def judge(block: Block) -> str:
         return GOOD
     if stop >= STOP_LOW:
         return GOOD if n > LONG else OPEN
-    return BAD if n <= LONG and words and stop < STOP_LOW / 3 and not block.inside else OPEN
+    return BAD if n <= LONG and words and stop < STOP_LOW / 3 else OPEN
 
 
 def settle(blocks: list[Block]) -> None:
     """Second pass: open blocks take the label of their nearest decided neighbours.
 
     Two unlike neighbours are settled by the nearer one, then by whether the block
-    stands in a marked article, then for good.  Without decided neighbours a block
-    of a marked article is good, and so is any block with the page's only text.
+    stands in a marked article as they do, then for good.  Without decided neighbours
+    a block is good.
     """
     decided = [k for k, b in enumerate(blocks) if b.label != OPEN]
     after = 0
@@ -209,29 +210,28 @@ def settle(blocks: list[Block]) -> None:
             gap = (k - left) - (right - k)
             # A heading belongs to what follows it.
             nearer = right if b.heading or gap > 0 else left if gap < 0 else None
+            if nearer is None and blocks[left].inside != blocks[right].inside:
+                nearer = left if blocks[left].inside == b.inside else right
             b.label = GOOD if nearer is None else blocks[nearer].label
 
 
 def main_text(page: str | None) -> str:
     """The article of a whole page: its blocks joined by line feeds; empty for none.
 
-    Where a page marks an article or main part that holds text, only that part is
-    read, and in it a block is dropped for what it links to only: the marking
-    outweighs the word statistics.
+    All blocks are judged.  A marked article or main part with at least half of the
+    page's good text is read alone; where it has less, as with marked teasers, the
+    whole page is read.  In a marked part without good blocks the open ones are good.
     """
     if not page:
         return ""
     blocks = blocks_of(page)
-    marked = [b for b in blocks if b.inside]
-    if marked:
-        blocks = marked
     for b in blocks:
         b.label = judge(b)
-    if marked:
-        for b in blocks:
-            if b.label == BAD and b.linked / len(b.text) <= MOST_LINKED:
-                b.label = OPEN
-        if all(b.label != GOOD for b in blocks):
+    marked = [b for b in blocks if b.inside]
+    good = [b for b in blocks if b.label == GOOD]
+    if marked and 2 * sum(len(b.text) for b in good if b.inside) >= sum(len(b.text) for b in good):
+        blocks = marked
+        if not good:
             for b in blocks:
                 b.label = GOOD if b.label == OPEN else b.label
     settle(blocks)

@@ -66,6 +66,14 @@ def test_main_text_without_marks():
     assert "best of times" in text and "Short one." in text and "last of the paragraphs" in text and "The link" not in text
 
 
+def test_main_text_judges_marked_pages_too():
+    notice = "Acme Gizmo 3000 Turbo Platinum Edition, Blue, Red, Green, Yellow, Steel, Chrome, Nickel, Copper"
+    text = html_blocks.main_text(PAGE % f"<article>{BODY}<p>{notice}</p></article>")
+    assert "best of times" in text and "Short one." in text and notice not in text
+    teasers = "<article><p>The one that is read</p></article><article><p>And the other of them</p></article>"
+    assert "best of times" in html_blocks.main_text(PAGE % f"<div>{BODY}</div>{teasers}")
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [None, "", "plain words and no markup", "<p>cut off <b>in the mid", "<script>only script", "<!-- <p>hidden</p> -->", "<p>a&nbsp;&lt;b&gt;&#233;&bogus;</p>", "<article></article>", "<" * 2000, "<p>" + "word " * 50_000]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
