@@ -169,20 +169,41 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def judge(block: Block) -> str:
-    """First pass: good, bad, or open for a short block that its own text cannot settle."""
+def stop_share(text: str) -> float | None:
+    """The share of stop words; None for a text without words."""
+    words = LETTERS.findall(text.lower())
+    return sum(w in STOP for w in words) / len(words) if words else None
+
+
+def covered(blocks: list[Block]) -> bool:
+    """Whether the stop list knows a page's language: half of its running text has a fair share of them."""
+    total = known = 0
+    for b in blocks:
+        n = len(b.text)
+        if n >= SHORT and b.linked / n <= MOST_LINKED and (stop := stop_share(b.text)) is not None:
+            total += n
+            known += n if stop >= STOP_LOW else 0
+    return 2 * known >= total
+
+
+def judge(block: Block, known: bool = True) -> str:
+    """First pass: good, bad, or open for a short block that its own text cannot settle.
+
+    On a page whose language the stop list does not know, length and links decide.
+    """
     n = len(block.text)
     if block.linked / n > MOST_LINKED:
         return BAD
-    words = LETTERS.findall(block.text.lower())
-    stop = sum(w in STOP for w in words) / max(1, len(words))
     if n < SHORT or block.heading:
         return OPEN
-    if stop >= STOP_HIGH:
+    stop = stop_share(block.text)
+    if stop is None:
+        return OPEN
+    if not known or stop >= STOP_HIGH:
         return GOOD
     if stop >= STOP_LOW:
         return GOOD if n > LONG else OPEN
-    return BAD if n <= LONG and words and stop < STOP_LOW / 3 else OPEN
+    return BAD if n <= LONG and stop < STOP_LOW / 3 else OPEN
 
 
 def settle(blocks: list[Block]) -> None:
@@ -225,8 +246,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
+    known = covered(blocks)
     for b in blocks:
-        b.label = judge(b)
+        b.label = judge(b, known)
     marked = [b for b in blocks if b.inside]
     good = [b for b in blocks if b.label == GOOD]
     if marked and 2 * sum(len(b.text) for b in good if b.inside) >= sum(len(b.text) for b in good):

@@ -74,6 +74,14 @@ def test_main_text_judges_marked_pages_too():
     assert "best of times" in html_blocks.main_text(PAGE % f"<div>{BODY}</div>{teasers}")
 
 
+@pytest.mark.parametrize("words", ["Wczoraj wieczorem mieszkańcy miasta zobaczyli niezwykłe zjawisko", "Вчера вечером жители города увидели необычное явление", "昨天晚上城里的居民看到了一个不寻常的现象他们都很惊讶"])
+def test_main_text_in_an_unlisted_language(words):
+    paragraphs = [" ".join([words] * k) for k in (3, 9, 3)]
+    links = "<div>" + "".join(f"<a href='/{i}'>{words}</a> " for i in range(5)) + "</div>"
+    page = links + "".join(f"<p>{p}</p>" for p in paragraphs) + links
+    assert html_blocks.main_text(PAGE % f"<div>{page}</div>").split("\n") == paragraphs
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [None, "", "plain words and no markup", "<p>cut off <b>in the mid", "<script>only script", "<!-- <p>hidden</p> -->", "<p>a&nbsp;&lt;b&gt;&#233;&bogus;</p>", "<article></article>", "<" * 2000, "<p>" + "word " * 50_000]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
