@@ -30,13 +30,17 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that mark what is not the article.
+#: Words in a class, id or role that mark what is not the article, unless it holds most of the text.
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side-?bar"
     r"|footer|header|masthead|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags?|login|signup|search|skip|copyright|legal"
     r"|contentinfo|complementary|navigation|dialog)(?:$|[\s_-])",
     re.I,
 )
+#: What readers add below an article, which may be longer than it.
+THREAD = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reply)(?:$|[\s_-])", re.I)
+#: Words that tell of a layout's parts, not of the element.
+ABOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-][\w-]*", re.I)
 #: Frequent function words of the languages most met; they need not be complete.
 STOP = frozenset(
     "a an and are as at be been but by can did do for from had has have he her his i if in into is it its more no not of on one or our she so than that the their them there they this to was we were what when which who will with would you your"
@@ -66,6 +70,7 @@ class Block:
     heading: bool
     inside: bool
     label: str = OPEN
+    under: tuple[int, ...] = ()  # the elements around it that a class word calls boilerplate
 
 
 def end_of_raw(page: str, name: str, at: int) -> int:
@@ -74,49 +79,82 @@ def end_of_raw(page: str, name: str, at: int) -> int:
     return found.start() if found else len(page)
 
 
-def boilerplate(name: str, attributes: str) -> bool:
+def boilerplate(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element never holds article text, and the class words that say it may not."""
     if name in AROUND:
-        return True
+        return True, ""
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return False, ""
+    said = ""
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key in ("class", "id", "role") and BOILER.search(value)):
-            return True
-    return False
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            return True, ""
+        if key in ("class", "id", "role") and BOILER.search(value) and BOILER.search(own := ABOUT.sub("", value)):
+            said += " " + own
+    return False, said
+
+
+def without_shaded(blocks: list[Block], shades: list[str]) -> list[Block]:
+    """The blocks that no class word hides.
+
+    A class word does not hide an element that holds more than half of the page's text,
+    or of its marked text, as wrappers do.  One named for readers' comments, which may
+    be longer than the article, must hold all good text or all marked text.  Blocks
+    that are bad by themselves don't count.
+    """
+    if not any(b.under for b in blocks):
+        return blocks
+    known = covered(blocks)
+    labels = [judge(b, known) for b in blocks]
+    fair = [b for b, label in zip(blocks, labels, strict=True) if label != BAD]
+    best = [b for b, label in zip(blocks, labels, strict=True) if label == GOOD] or fair
+    marked = [b for b in fair if b.inside]
+    threads = {k for k, said in enumerate(shades) if THREAD.search(said)}
+    shown = set()
+    for some, whole in ((fair, False), (marked, False), (best, True), (marked, True)):
+        total, held = 0, [0] * len(shades)
+        for b in some:
+            total += len(b.text)
+            for k in b.under:
+                held[k] += len(b.text)
+        shown |= {k for k, h in enumerate(held) if h and (k in threads) == whole and (h == total if whole else 2 * h > total)}
+    return [b for b in blocks if shown.issuperset(b.under)]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in page order, without those inside boilerplate elements."""
     out: list[Block] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, hides, is an article or main
-    linked = at = hidden = links = article = 0
+    parts: list[tuple[tuple[int, ...], str, int]] = []  # shades, text, linked characters
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, hides, is an article or main, is shaded
+    shades: list[str] = []
+    under: tuple[int, ...] = ()
+    at = hidden = links = article = 0
     heading = False
 
     def end_block():
-        nonlocal linked, heading
-        text = SPACE.sub(" ", "".join(parts)).strip()
-        if text:
-            out.append(Block(text, linked, heading, article > 0))
+        nonlocal heading
+        # What a shaded inline element holds is a block of its own.
+        for shade in dict.fromkeys(u for u, _, _ in parts):
+            text = SPACE.sub(" ", "".join(t for u, t, _ in parts if u == shade)).strip()
+            if text:
+                out.append(Block(text, sum(n for u, _, n in parts if u == shade), heading, article > 0, under=shade))
         parts.clear()
-        linked, heading = 0, False
+        heading = False
 
     def leave(to: int):
-        nonlocal hidden, links, article
+        nonlocal hidden, links, article, under
         while len(stack) > to:
-            name, hides, main = stack.pop()
+            name, hides, main, shaded = stack.pop()
             hidden -= hides
             article -= main
             links -= name == "a"
+            under = under[:-1] if shaded else under
 
     def say(raw: str):
-        nonlocal linked
         if raw and not hidden:
             text = entities.unescape(raw)
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
+            parts.append((under, text, len(text.strip()) if links else 0))
 
     while True:
         tag = TAG.search(page, at)
@@ -133,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCKS:
             end_block()
         elif name == "br":
-            parts.append(" ")
+            parts.append((under, " ", 0))
         if tag[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -158,15 +196,18 @@ def blocks_of(page: str) -> list[Block]:
                     break
             if len(name) == 2 and name[0] == "h" and name[1].isdigit():
                 heading = True
-        hides, main = boilerplate(name, tag[3]), name in ("article", "main")
+        (hides, said), main = boilerplate(name, tag[3]), name in ("article", "main")
         if hidden and main and not hides:
             main = False
-        stack.append((name, hides, main))
+        stack.append((name, hides, main, bool(said)))
+        if said:
+            under += (len(shades),)
+            shades.append(said)
         hidden += hides
         article += main
         links += name == "a"
     end_block()
-    return out
+    return without_shaded(out, shades)
 
 
 def stop_share(text: str) -> float | None:

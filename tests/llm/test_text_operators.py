@@ -82,6 +82,15 @@ def test_main_text_in_an_unlisted_language(words):
     assert html_blocks.main_text(PAGE % f"<div>{page}</div>").split("\n") == paragraphs
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "class='page no-header'", "class='post tag-news'", "id='search-result-body'", "class='comments-open'"])
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_main_text_in_a_wrapper_named_like_boilerplate(wrapper, mark):
+    inner = f"<{mark}>{BODY}</{mark}><div class='sidebar'>It is the text at the side</div>"
+    text = html_blocks.main_text(PAGE % f"<div {wrapper}>{inner}</div>")
+    assert "best of times" in text and "last of the paragraphs" in text
+    assert "at the side" not in text and "comment that" not in text and "cookies" not in text
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [None, "", "plain words and no markup", "<p>cut off <b>in the mid", "<script>only script", "<!-- <p>hidden</p> -->", "<p>a&nbsp;&lt;b&gt;&#233;&bogus;</p>", "<article></article>", "<" * 2000, "<p>" + "word " * 50_000]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
