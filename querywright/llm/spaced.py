@@ -20,9 +20,11 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Offsets of the tokens that each mask looks at.  Both start at 0; together they
-#: ignore every inner offset at least once.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 5, 8, 9))
+#: Offsets of the tokens that each mask looks at, from 0 on.  Whichever two tokens of a
+#: run of 13 are replaced, or whichever one of an item of 10 to 12, some mask misses them.
+MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 3, 4, 5))
+#: Items of fewer tokens are sought by the longest run that their replaced tokens must leave whole.
+SHORT_ITEM = 10
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 #: Windows of the test items up to which they are broadcast: about 60 bytes each.
 MOST_BROADCAST = 1_000_000
@@ -37,22 +39,32 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
-def window_starts(hashes: Column) -> Column:
-    """Every position that the masks can stand at; none in a text shorter than they reach."""
-    reach = max(m[-1] for m in MASKS)
+def window_starts(hashes: Column, masks: tuple[tuple[int, ...], ...] = MASKS) -> Column:
+    """Every position that some mask can stand at; none in a text shorter than they all reach."""
+    reach = min(m[-1] for m in masks)
     return F.when(F.size(hashes) > reach, F.sequence(F.lit(0), F.size(hashes) - reach - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def masked_hash(hashes: Column, at: Column, mask: tuple[int, ...], number: int) -> Column:
-    """The hash of the tokens that a mask looks at from a position on, and of the mask's number."""
-    return F.xxhash64(*[F.get(hashes, at + o) for o in mask], F.lit(number))
+    """The hash of the tokens that a mask looks at from a position on, and of the mask's number; null where it reaches too far."""
+    return F.when(F.size(hashes) > at + mask[-1], F.xxhash64(*[F.get(hashes, at + o) for o in mask], F.lit(number)))
 
 
-def seeds(frame: DataFrame, hashes: str, keep: list[str]) -> DataFrame:
+def masks_for(lengths: list[int], window: int, least: int) -> tuple[tuple[int, ...], ...]:
+    """``MASKS``, and a mask of adjacent tokens for each kind of short item that there is."""
+    runs = set()
+    for n in lengths:
+        w = min(n, window)
+        spare = w - -(-w * least // window)
+        runs.add(-(-(w - spare) // (spare + 1)))
+    return (*MASKS, *[tuple(range(k)) for k in sorted(runs)])
+
+
+def seeds(frame: DataFrame, hashes: str, keep: list[str], masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """``keep`` columns, ``pos`` (int) and ``h`` (long), a row for each window and mask."""
-    at = frame.select(*dict.fromkeys([*keep, hashes]), F.explode(window_starts(F.col(hashes))).alias("pos"))
-    both = [F.struct("pos", masked_hash(F.col(hashes), F.col("pos"), m, i).alias("h")) for i, m in enumerate(MASKS)]
-    return at.select(*keep, F.explode(F.array(*both)).alias("w")).select(*keep, "w.pos", "w.h")
+    at = frame.select(*dict.fromkeys([*keep, hashes]), F.explode(window_starts(F.col(hashes), masks)).alias("pos"))
+    every = [F.struct("pos", masked_hash(F.col(hashes), F.col("pos"), m, i).alias("h")) for i, m in enumerate(masks)]
+    return at.select(*keep, F.explode(F.array(*every)).alias("w")).select(*keep, "w.pos", "w.h").where("h is not null")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", window: int = 13, least: int = 11, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -61,34 +73,42 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     ``matched`` of ``compared`` aligned tokens agree; the positions are those of the
     run's first token.
 
-    Defined results: null and short texts, of fewer tokens than a mask reaches over,
-    match nothing; repeated rows of a document or an item are reported once; null
+    Defined results: null texts and those without tokens match nothing, nor does a
+    document with fewer tokens than ``compared``; repeated rows of a document or an item are reported once; null
     keys are kept as keys; runs that tie are settled by the smallest positions; an
     empty table on either side gives an empty result.
     """
     tests = items.select(F.col(item_key).alias("_i"), token_hashes(F.col(item_text)).alias("_ih")).where(F.size("_ih") > 0).distinct()
     # Items that share a key but differ in text are told apart by a number of their own.
     tests = tests.withColumn("_u", F.xxhash64("_i", "_ih"))
+    told = tests.agg(F.coalesce(F.sum(F.size("_ih")), F.lit(0)).alias("n"), F.collect_set(F.when(F.size("_ih") < SHORT_ITEM, F.size("_ih"))).alias("short")).first()
+    masks = masks_for(told["short"], window, least)
+    small = told["n"] * len(masks) <= most_broadcast
+    # Long items use the masks that all have; short ones only those made for them.
+    sought = seeds(tests.where(F.size("_ih") >= SHORT_ITEM), "_ih", ["_u"])
+    for k in range(len(MASKS), len(masks)):
+        mine = [n for n in told["short"] if masks_for([n], window, least)[-1] == masks[k]]
+        at = tests.where(F.size("_ih").isin(mine)).select("_u", "_ih", F.explode(window_starts(F.col("_ih"), (masks[k],))).alias("pos"))
+        sought = sought.unionByName(at.select("_u", "pos", masked_hash(F.col("_ih"), F.col("pos"), masks[k], k).alias("h")))
     # Equal windows of one item at other places are kept: each place has its own alignment.
-    probes = seeds(tests, "_ih", ["_u"]).groupBy("h").agg(F.collect_list(F.struct("_u", "pos")).alias("sites"))
-    small = tests.agg(F.coalesce(F.sum(F.size("_ih")), F.lit(0)).alias("n")).first()["n"] * len(MASKS) <= most_broadcast
+    probes = sought.groupBy("h").agg(F.collect_list(F.struct("_u", "pos")).alias("sites"))
 
     hashed = docs.select(F.col(doc_key).alias("_d"), token_hashes(F.col(text)).alias("_dh"))
     if small:
         # One row per window; its hashes are taken after the explode, where generated code reads
-        # the document's array in place.  Either mask may hit, and only hits are kept.
-        rows = hashed.select("_d", "_dh", F.explode(window_starts(F.col("_dh"))).alias("dpos"))
-        for i, m in enumerate(MASKS):
+        # the document's array in place.  Any mask may hit, and only hits are kept.
+        rows = hashed.select("_d", "_dh", F.explode(window_starts(F.col("_dh"), masks)).alias("dpos"))
+        for i, m in enumerate(masks):
             rows = rows.withColumn(f"_h{i}", masked_hash(F.col("_dh"), F.col("dpos"), m, i))
-        for i in range(len(MASKS)):
+        for i in range(len(masks)):
             rows = rows.join(F.broadcast(probes.select(F.col("h").alias(f"_h{i}"), F.col("sites").alias(f"_s{i}"))), f"_h{i}", "left")
-        found = [F.col(f"_s{i}") for i in range(len(MASKS))]
+        found = [F.col(f"_s{i}") for i in range(len(masks))]
         met = rows.where(functools.reduce(lambda a, b: a | b, [s.isNotNull() for s in found]))
         kept = F.flatten(F.array_compact(F.array(*found)))
         hits = met.select("_d", "_dh", "dpos", F.explode(kept).alias("s"))
     else:
         # Windows are joined by key without their texts, and texts looked up for the documents hit.
-        rows = seeds(hashed, "_dh", ["_d"]).withColumnRenamed("pos", "dpos")
+        rows = seeds(hashed, "_dh", ["_d"], masks).withColumnRenamed("pos", "dpos")
         met = rows.join(probes, "h").select("_d", "dpos", F.explode("sites").alias("s"))
         found = hashed.withColumnRenamed("_d", "_d2")
         hits = met.join(found, F.col("_d").eqNullSafe(F.col("_d2"))).select("_d", "_dh", "dpos", "s")

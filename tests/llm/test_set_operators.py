@@ -1,6 +1,7 @@
 """WARC round trips, mixing, near duplicates, decontamination and sharding against brute force."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -271,6 +272,20 @@ def test_overlaps_equal_brute_force(spark, bound):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {x for x, _ in docs} - {r["doc_id"] for r in got if r["doc_id"] is not None}
 
 
+@pytest.mark.parametrize("bound", [spaced.MOST_BROADCAST, 0])
+def test_overlaps_reach_the_whole_tolerance(spark, bound):
+    docs, items = [], []
+    for n in range(1, 14):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        spare = next(x for x in reversed(range(n)) if (n - x) * 13 >= n * 11)
+        for bad in itertools.combinations(range(n), spare):
+            docs.append((f"{n}:{bad}", n, n - spare, " ".join(["a", *("r" if k in bad else t for k, t in enumerate(item)), "b"])))
+    d = spark.createDataFrame([(x, t) for x, _, _, t in docs], "doc_id string, text string")
+    got = spaced.overlaps(d, spark.createDataFrame(items, "item_id long, text string"), most_broadcast=bound).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in got} == {(x, n, m) for x, n, m, _ in docs}
+
+
 def test_overlaps_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
