@@ -11,6 +11,7 @@ to the rest of the page only where it holds at least half of the good text.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from dataclasses import dataclass
@@ -72,6 +73,10 @@ class Block:
     label: str = OPEN
     under: tuple[int, ...] = ()  # the elements around it that a class word calls boilerplate
 
+    @functools.cached_property
+    def stop(self) -> float | None:
+        return stop_share(self.text)
+
 
 def end_of_raw(page: str, name: str, at: int) -> int:
     """Where the closing tag of a raw element begins; the page's end if there is none."""
@@ -221,7 +226,7 @@ def covered(blocks: list[Block]) -> bool:
     total = known = 0
     for b in blocks:
         n = len(b.text)
-        if n >= SHORT and b.linked / n <= MOST_LINKED and (stop := stop_share(b.text)) is not None:
+        if n >= SHORT and b.linked / n <= MOST_LINKED and (stop := b.stop) is not None:
             total += n
             known += n if stop >= STOP_LOW else 0
     return 2 * known >= total
@@ -237,7 +242,7 @@ def judge(block: Block, known: bool = True) -> str:
         return BAD
     if n < SHORT or block.heading:
         return OPEN
-    stop = stop_share(block.text)
+    stop = block.stop
     if stop is None:
         return OPEN
     if not known or stop >= STOP_HIGH:
