@@ -1,12 +1,13 @@
 """Operator 6, HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass judges each block by
-its length, its share of stop words and its share of linked characters; short
-blocks that this cannot settle are left open.  The second pass gives an open block
-the label of its nearest decided neighbours.  Blocks inside elements that never
-hold article text (menus, forms, scripts and the like) are dropped as they are
-met.  Every block is judged in this way; a marked article or main part is preferred
-to the rest of the page only where it holds at least half of the good text.
+A page is cut into blocks at block-level tags.  The first pass judges every block by
+its length, its share of stop words and its share of linked characters.  Where it
+stands counts too: a block in an element or under a class word of menus, footers and
+the like is bad; where marked article or main parts hold at least half of the running
+text, a block in them needs less evidence and one outside more.  Paragraphs of middling
+length are good if several in a row are long together.  What this leaves open, short
+blocks above all, takes in the second pass the label of its nearest decided neighbours, those
+under the same parent element if there are any.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements whose text is no text.
-RAW = frozenset("script style template noscript textarea title svg math iframe object canvas audio video select".split())
-#: Elements around an article rather than in it.
+RAW = frozenset("script style template noscript textarea title svg iframe object canvas audio video select annotation annotation-xml".split())
+#: Elements around an article rather than in it: their blocks are bad.
 AROUND = frozenset("nav header footer aside form dialog menu button fieldset".split())
 #: Elements that end a block where they begin or end.
 BLOCKS = frozenset(
@@ -40,8 +41,8 @@ BOILER = re.compile(
 )
 #: What readers add below an article, which may be longer than it.
 THREAD = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reply)(?:$|[\s_-])", re.I)
-#: Words that tell of a layout's parts, not of the element.
-ABOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-][\w-]*", re.I)
+#: Words that tell of a layout's parts or their state, not of the element.
+ABOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-][\w-]*|[\w-]+[_-](?:open|closed|enabled|disabled)(?![\w-])", re.I)
 #: Frequent function words of the languages most met; they need not be complete.
 STOP = frozenset(
     "a an and are as at be been but by can did do for from had has have he her his i if in into is it its more no not of on one or our she so than that the their them there they this to was we were what when which who will with would you your"
@@ -49,17 +50,22 @@ STOP = frozenset(
     " aber als am auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer es für hat ich ihr im in ist mit nach nicht noch nur oder sich sie sind so um und von vor war was wenn wie wir wird zu zum zur über"
     " al como con cuando del desde donde el ella ellos entre era es esta este esto fue ha hay la las lo los muy más no nos para pero por porque que se ser si sin sobre su sus también tiene un una y ya".split()
 )
+#: Comments, CDATA, declarations and tags; a quote opens a value only after an equals sign.
 TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = regex.compile(r"\s+")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.28
 MOST_LINKED = 0.33
+#: How many blocks farther than the next one what a heading belongs to may begin.
+APART = 8
 
 GOOD, BAD, OPEN = "good", "bad", "open"
 
@@ -69,10 +75,17 @@ class Block:
     text: str
     linked: int
     heading: bool
-    inside: bool
+    inside: bool  # in a marked article or main part
+    place: int = 0  # the element that holds it and its siblings
+    around: bool = False  # in an element or under a class word of boilerplate
     label: str = OPEN
     under: tuple[int, ...] = ()  # the elements around it that a class word calls boilerplate
 
+    @property
+    def plain(self) -> bool:
+        """Running text by its place and links."""
+        return not self.around and self.linked <= MOST_LINKED * len(self.text)
+
     @functools.cached_property
     def stop(self) -> float | None:
         return stop_share(self.text)
@@ -84,32 +97,33 @@ def end_of_raw(page: str, name: str, at: int) -> int:
     return found.start() if found else len(page)
 
 
-def boilerplate(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element never holds article text, and the class words that say it may not."""
-    if name in AROUND:
-        return True, ""
-    if not attributes or name in ("html", "body", "main", "article"):
+def telling(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is not shown, and the class words that call it boilerplate."""
+    if not attributes or not TELLING.search(attributes):
         return False, ""
     said = ""
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True, ""
-        if key in ("class", "id", "role") and BOILER.search(value) and BOILER.search(own := ABOUT.sub("", value)):
-            said += " " + own
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and UNSEEN.search(value)):
+            return name not in ("html", "body"), ""
+        if key in ("class", "id", "role") and name not in ("html", "body"):
+            # Articles and main parts are often classed by their subjects; only readers' comments count there.
+            words = THREAD if name in ("main", "article") else BOILER
+            if words.search(value) and words.search(own := ABOUT.sub("", value)):
+                said += " " + own
     return False, said
 
 
-def without_shaded(blocks: list[Block], shades: list[str]) -> list[Block]:
-    """The blocks that no class word hides.
+def shade(blocks: list[Block], shades: list[str]) -> None:
+    """Mark as ``around`` the blocks that a class word hides.
 
     A class word does not hide an element that holds more than half of the page's text,
-    or of its marked text, as wrappers do.  One named for readers' comments, which may
+    or of its marked text, as wrappers do (of the page's, more than a short paragraph).  One named for readers' comments, which may
     be longer than the article, must hold all good text or all marked text.  Blocks
     that are bad by themselves don't count.
     """
     if not any(b.under for b in blocks):
-        return blocks
+        return
     known = covered(blocks)
     labels = [judge(b, known) for b in blocks]
     fair = [b for b, label in zip(blocks, labels, strict=True) if label != BAD]
@@ -123,38 +137,45 @@ def without_shaded(blocks: list[Block], shades: list[str]) -> list[Block]:
             total += len(b.text)
             for k in b.under:
                 held[k] += len(b.text)
-        shown |= {k for k, h in enumerate(held) if h and (k in threads) == whole and (h == total if whole else 2 * h > total)}
-    return [b for b in blocks if shown.issuperset(b.under)]
+        # A short part of a page with marks is no wrapper.
+        enough = LONG if some is fair and marked else 0
+        shown |= {k for k, h in enumerate(held) if h > enough and (k in threads) == whole and (h == total if whole else 2 * h > total)}
+    for b in blocks:
+        b.around |= not shown.issuperset(b.under)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in page order, without those inside boilerplate elements."""
+    """The blocks of a page in page order, but for what is not shown."""
     out: list[Block] = []
     parts: list[tuple[tuple[int, ...], str, int]] = []  # shades, text, linked characters
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hides, is an article or main, is shaded
+    stack: list[tuple] = []  # name, is not shown, is around, is an article or main, is shaded, is a block element
     shades: list[str] = []
     under: tuple[int, ...] = ()
-    at = hidden = links = article = 0
+    # The tree of block elements: each one's parent, and whether it holds others.
+    parent, branches, here = [0], [True], 0
+    at = hidden = links = article = around = 0
     heading = False
 
     def end_block():
         nonlocal heading
         # What a shaded inline element holds is a block of its own.
-        for shade in dict.fromkeys(u for u, _, _ in parts):
-            text = SPACE.sub(" ", "".join(t for u, t, _ in parts if u == shade)).strip()
+        for shaded in dict.fromkeys(u for u, _, _ in parts):
+            text = SPACE.sub(" ", "".join(t for u, t, _ in parts if u == shaded)).strip()
             if text:
-                out.append(Block(text, sum(n for u, _, n in parts if u == shade), heading, article > 0, under=shade))
+                out.append(Block(text, sum(n for u, _, n in parts if u == shaded), heading, article > 0, here, around > 0, under=shaded))
         parts.clear()
         heading = False
 
     def leave(to: int):
-        nonlocal hidden, links, article, under
+        nonlocal hidden, links, article, around, under, here
         while len(stack) > to:
-            name, hides, main, shaded = stack.pop()
-            hidden -= hides
+            name, unseen, aside, main, shaded, block = stack.pop()
+            hidden -= unseen
+            around -= aside
             article -= main
             links -= name == "a"
             under = under[:-1] if shaded else under
+            here = parent[here] if block else here
 
     def say(raw: str):
         if raw and not hidden:
@@ -191,7 +212,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in VOID or tag[0].endswith("/>"):
             continue
-        if name in BLOCKS:
+        block = name in BLOCKS
+        if block:
             # A block ends the paragraph that is open, and with it the inline elements left open in it.
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -201,18 +223,25 @@ def blocks_of(page: str) -> list[Block]:
                     break
             if len(name) == 2 and name[0] == "h" and name[1].isdigit():
                 heading = True
-        (hides, said), main = boilerplate(name, tag[3]), name in ("article", "main")
-        if hidden and main and not hides:
-            main = False
-        stack.append((name, hides, main, bool(said)))
+            branches[here] = True
+            parent.append(here)
+            branches.append(False)
+            here = len(parent) - 1
+        (unseen, said), aside, main = telling(name, tag[3]), name in AROUND, name in ("article", "main")
+        stack.append((name, unseen, aside, main, bool(said), block))
         if said:
             under += (len(shades),)
             shades.append(said)
-        hidden += hides
+        hidden += unseen
+        around += aside
         article += main
         links += name == "a"
     end_block()
-    return without_shaded(out, shades)
+    # A block stands beside those that share its element's parent; text right in a larger element beside its children.
+    for b in out:
+        b.place = b.place if branches[b.place] else parent[b.place]
+    shade(out, shades)
+    return out
 
 
 def stop_share(text: str) -> float | None:
@@ -226,82 +255,115 @@ def covered(blocks: list[Block]) -> bool:
     total = known = 0
     for b in blocks:
         n = len(b.text)
-        if n >= SHORT and b.linked / n <= MOST_LINKED and (stop := b.stop) is not None:
+        if n >= SHORT and b.plain and (stop := b.stop) is not None:
             total += n
             known += n if stop >= STOP_LOW else 0
     return 2 * known >= total
 
 
-def judge(block: Block, known: bool = True) -> str:
-    """First pass: good, bad, or open for a short block that its own text cannot settle.
+def judge(block: Block, known: bool = True, marked: bool = False) -> str:
+    """First pass: good, bad, or open for a block that its own text and place cannot settle.
 
     On a page whose language the stop list does not know, length and links decide.
+    ``marked`` says that marked parts hold most of the page's text: then a block in them
+    is good with less evidence and never bad for want of stop words, and one outside is
+    at best open.
     """
     n = len(block.text)
-    if block.linked / n > MOST_LINKED:
+    if not block.plain:
         return BAD
-    if n < SHORT or block.heading:
+    if block.heading:
         return OPEN
-    stop = block.stop
+    outside = marked and not block.inside
+    stop = block.stop if n >= SHORT else None
     if stop is None:
-        return OPEN
-    if not known or stop >= STOP_HIGH:
-        return GOOD
-    if stop >= STOP_LOW:
-        return GOOD if n > LONG else OPEN
-    return BAD if n <= LONG and stop < STOP_LOW / 3 else OPEN
+        return BAD if outside else OPEN
+    if outside:
+        return OPEN if n > LONG and (not known or stop >= STOP_HIGH) else BAD
+    if not known or stop >= STOP_LOW:
+        return GOOD if n > LONG or (marked and stop >= STOP_HIGH) else OPEN
+    return BAD if stop < STOP_LOW / 3 and not marked else OPEN
+
+
+def judge_runs(blocks: list[Block], known: bool) -> None:
+    """Open paragraphs in a row under one parent are good if they are long together and none lacks stop words."""
+    run: list[Block] = []
+
+    def end_run():
+        if sum(len(b.text) for b in run) > LONG:
+            for b in run:
+                b.label = GOOD
+        run.clear()
+
+    for b in blocks:
+        fair = b.label == OPEN and not b.heading and len(b.text) >= SHORT and b.stop is not None and (not known or b.stop >= STOP_LOW)
+        if run and (not fair or b.place != run[-1].place):
+            end_run()
+        if fair:
+            run.append(b)
+    end_run()
 
 
 def settle(blocks: list[Block]) -> None:
     """Second pass: open blocks take the label of their nearest decided neighbours.
 
-    Two unlike neighbours are settled by the nearer one, then by whether the block
-    stands in a marked article as they do, then for good.  Without decided neighbours
-    a block is good.
+    Neighbours are the next decided blocks before and after it under the same parent
+    element; where that has none, those of the page.  Of unlike neighbours the nearer
+    one counts, then the one that stands in a marked part if the block does, then the
+    good one.  A heading belongs to what follows it: the next decided block of the page,
+    or that under its parent if this is at most ``APART`` blocks farther.  Without
+    decided neighbours a block is good.
     """
-    decided = [k for k, b in enumerate(blocks) if b.label != OPEN]
-    after = 0
-    for k, b in enumerate(blocks):
-        if b.label != OPEN:
-            continue
-        while after < len(decided) and decided[after] < k:
-            after += 1
-        left = decided[after - 1] if after else None
-        right = decided[after] if after < len(decided) else None
-        near = [x for x in (left, right) if x is not None]
-        if not near:
-            b.label = GOOD
-        elif len(near) == 1 or blocks[near[0]].label == blocks[near[1]].label:
-            b.label = blocks[near[0]].label
+
+    def sides(order: range) -> dict[int, tuple[int | None, int | None]]:
+        """For each open block its next decided neighbours on the side that ``order`` comes from: under its parent, of the page."""
+        out, last, by_place = {}, None, {}
+        for k in order:
+            b = blocks[k]
+            if b.label != OPEN:
+                last = by_place[b.place] = k
+            else:
+                out[k] = by_place.get(b.place), last
+        return out
+
+    left, right = sides(range(len(blocks))), sides(range(len(blocks) - 1, -1, -1))
+    told = {}
+    for k, (same, any_) in left.items():
+        b, (same_after, after) = blocks[k], right[k]
+        if b.heading and after is not None:
+            near = [same_after if same_after is not None and same_after - after <= APART else after]
         else:
-            gap = (k - left) - (right - k)
-            # A heading belongs to what follows it.
-            nearer = right if b.heading or gap > 0 else left if gap < 0 else None
-            if nearer is None and blocks[left].inside != blocks[right].inside:
-                nearer = left if blocks[left].inside == b.inside else right
-            b.label = GOOD if nearer is None else blocks[nearer].label
+            near = [j for j in (same, same_after) if j is not None] or [j for j in (any_, after) if j is not None]
+        least = min((abs(k - j) for j in near), default=0)
+        at = [j for j in near if abs(k - j) == least]
+        labels = {blocks[j].label for j in at}
+        if len(labels) > 1:
+            labels = {blocks[j].label for j in at if blocks[j].inside == b.inside} or labels
+        told[k] = labels.pop() if len(labels) == 1 else GOOD
+    for k, label in told.items():
+        blocks[k].label = label
 
 
 def main_text(page: str | None) -> str:
-    """The article of a whole page: its blocks joined by line feeds; empty for none.
-
-    All blocks are judged.  A marked article or main part with at least half of the
-    page's good text is read alone; where it has less, as with marked teasers, the
-    whole page is read.  In a marked part without good blocks the open ones are good.
-    """
+    """The article of a whole page: its good blocks joined by line feeds; empty for none."""
     if not page:
         return ""
     blocks = blocks_of(page)
     known = covered(blocks)
+    running = inside = 0
     for b in blocks:
-        b.label = judge(b, known)
-    marked = [b for b in blocks if b.inside]
-    good = [b for b in blocks if b.label == GOOD]
-    if marked and 2 * sum(len(b.text) for b in good if b.inside) >= sum(len(b.text) for b in good):
-        blocks = marked
-        if not good:
-            for b in blocks:
-                b.label = GOOD if b.label == OPEN else b.label
+        if b.plain:
+            running += len(b.text)
+            inside += len(b.text) if b.inside else 0
+    marked = inside > 0 and 2 * inside >= running
+    for b in blocks:
+        b.label = judge(b, known, marked)
+    judge_runs(blocks, known)
+    if not any(b.label == GOOD for b in blocks):
+        # Nothing is sure to be good: on a short page the paragraphs are, or else all that is open.
+        rest = [b for b in blocks if b.label == OPEN]
+        for b in [b for b in rest if not b.heading and len(b.text) >= SHORT] or rest:
+            b.label = GOOD
     settle(blocks)
     return "\n".join(b.text for b in blocks if b.label == GOOD)
 
