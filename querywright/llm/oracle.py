@@ -54,16 +54,20 @@ SELECT n.doc_id, class_id,
 FROM n JOIN class ON class.x = n.doc_id
 """
 
-#: Masked windows joined, then every alignment that a hit gives is compared token by token.
+#: The tolerance itself, without masks: w - s of w tokens that agree hold a run of ceil((w - s) / (s + 1))
+#: that agree, so runs of that length find every alignment, and each is compared token by token.
 LEAKS = r"""
 WITH a AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS l FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS l FROM benchmark),
-ap AS (SELECT doc_id, l, unnest(range(1, len(l) - 8)) AS i FROM a WHERE len(l) > 9),
-bp AS (SELECT item_id, l, unnest(range(1, len(l) - 8)) AS i FROM b WHERE len(l) > 9),
-hit AS (SELECT DISTINCT doc_id, item_id, ap.i - bp.i AS shift FROM ap JOIN bp
-    ON ap.l[ap.i] = bp.l[bp.i] AND ap.l[ap.i + 1] = bp.l[bp.i + 1] AND ap.l[ap.i + 3] = bp.l[bp.i + 3] AND ap.l[ap.i + 4] = bp.l[bp.i + 4] AND ap.l[ap.i + 7] = bp.l[bp.i + 7] AND ap.l[ap.i + 9] = bp.l[bp.i + 9]
-  UNION SELECT DISTINCT doc_id, item_id, ap.i - bp.i FROM ap JOIN bp
-    ON ap.l[ap.i] = bp.l[bp.i] AND ap.l[ap.i + 2] = bp.l[bp.i + 2] AND ap.l[ap.i + 3] = bp.l[bp.i + 3] AND ap.l[ap.i + 5] = bp.l[bp.i + 5] AND ap.l[ap.i + 8] = bp.l[bp.i + 8] AND ap.l[ap.i + 9] = bp.l[bp.i + 9]),
+bw AS (SELECT item_id, l, least(13, len(l)) AS w FROM b WHERE len(l) > 0),
+bs AS (SELECT item_id, l, w, CAST(ceil(w * 11 / 13.0) AS BIGINT) AS need FROM bw),
+bk AS (SELECT item_id, l, CAST(ceil(need / (w - need + 1.0)) AS BIGINT) AS k FROM bs),
+ks AS (SELECT DISTINCT k FROM bk),
+bi AS (SELECT item_id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM bk),
+bp AS (SELECT item_id, k, i, array_to_string(l[i:i + k - 1], ' ') AS g FROM bi),
+ai AS (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM a, ks WHERE len(l) >= k),
+ap AS (SELECT doc_id, k, i, array_to_string(l[i:i + k - 1], ' ') AS g FROM ai),
+hit AS (SELECT DISTINCT doc_id, item_id, ap.i - bp.i AS shift FROM ap JOIN bp ON ap.k = bp.k AND ap.g = bp.g),
 pos AS (SELECT doc_id, item_id, shift, len(b.l) AS nb, a.l AS al, b.l AS bl, unnest(range(greatest(1, 1 - shift), least(len(b.l), len(a.l) - shift) + 1)) AS j FROM hit JOIN a USING (doc_id) JOIN b USING (item_id)),
 run AS (SELECT doc_id, item_id, shift, j, least(13, nb) AS w, list_sum([CASE WHEN al[shift + k] = bl[k] THEN 1 ELSE 0 END FOR k IN range(j, j + least(13, nb))]) AS m
   FROM pos WHERE j + least(13, nb) - 1 <= least(nb, len(al) - shift)),
