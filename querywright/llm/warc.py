@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywright.llm.common import fresh_path, range_bucket, range_splits, written
+from querywright.llm.common import KeyRanges, fresh_path, range_bytes, spread_join, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,9 +82,9 @@ class Store:
             self.fs.move(self.path(name), self.path(to))
 
 
-def record_id(page_id: int, copy: int) -> str:
-    """The n-th record of a page; the same in any run."""
-    return f"urn:page:{'null' if page_id == NO_ID else page_id}" + (f":{copy}" if copy else "")
+def record_id(page_id: int, digest: str, copy: int) -> str:
+    """The n-th record of a page with a payload; the same in any run."""
+    return f"urn:page:{'null' if page_id == NO_ID else page_id}:{digest[:32]}" + (f":{copy}" if copy else "")
 
 
 def page_of(urn: str) -> int | None:
@@ -105,7 +105,7 @@ def record(page_id: int, copy: int, url: str | None, payload: bytes, digest: str
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to else 'response'}",
-        f"WARC-Record-ID: <{record_id(page_id, copy)}>",
+        f"WARC-Record-ID: <{record_id(page_id, digest, copy)}>",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {clean_uri(url)}"] if url is not None else []),
         *([f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"] if refers_to else []),
@@ -144,43 +144,41 @@ class Roller:
             self.part, self.out = self.part + 1, None
 
 
-def write_archives(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", html: str = "html", least_revisit: int = 100, roll_bytes: int = 256 << 20, shard_bytes: int = 16 << 20, most_shards: int = 8192, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", html: str = "html", least_revisit: int = 100, roll_bytes: int = 256 << 20, shard_bytes: int = 16 << 20, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write ``pages`` as archives under ``root`` and return the manifest of the files in place.
 
-    ``shard_bytes`` is the payload a shard aims at, ``roll_bytes`` the compressed size
-    that rolls a file.  The same rows give the same files, byte for byte.
+    ``shard_bytes`` is the payload a shard aims at (``range_bytes`` raises it for very
+    large tables), ``roll_bytes`` the compressed size that rolls a file.  The same rows
+    give the same files, byte for byte.
 
     Defined results: a null payload counts as empty; a null url gives no target
     header; a null key counts as larger than any other; payloads under
     ``least_revisit`` bytes are always responses; of rows equal in key and payload one
-    is the response and the rest revisit it; an empty table writes no file; other
-    columns are not written.
+    is the response and the rest revisit it; rows of one key are spread over shards by
+    their payloads' digests; payloads are written whole, however long; an empty table
+    writes no file; other columns are not written.
     """
     spark = pages.sparkSession
     base = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), F.col(url).alias("u"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("b"))
     told = written(base.select("k", F.sha2("b", 256).alias("d"), F.octet_length("b").cast("long").alias("n")), "warc-digests")
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m")).first()
 
-    # Which rows revisit an earlier one: narrow rows only.  A payload that very many share is one
-    # row of `first`; its rows are spread over salts.
-    salts = 64
-    shared = told.where(F.col("n") >= least_revisit)
+    # Which rows revisit an earlier one: narrow rows only, a payload that very many share spread over tasks.
+    shared = told.where(F.col("n") >= least_revisit).select("k", "d")
     first = shared.groupBy("d").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    spread = first.select("d", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-    salted = shared.select("k", "d", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int").alias("s"))
-    revisits = salted.join(spread, ["d", "s"]).where("k > first").select("k", "d", "first").distinct()
+    revisits = spread_join(shared, first, "d", "m", total["m"]).where("k > first").select("k", "d", "first").distinct()
 
-    total = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m")).first()
-    parts = int(min(most_shards, max(1, total["n"] // shard_bytes)))
-    splits = range_splits(told, "k", parts, "n")
-    bucket = range_bucket(F.col("k"), splits)
+    ranges = KeyRanges(told, "k", "n", int(max(1, total["n"] // range_bytes(total["n"], shard_bytes))))
+    bucket = ranges.bucket(F.col("k"), F.conv(F.substring("d", 1, 8), 16, 10).cast("long"))
 
-    # Payloads are shuffled once; a revisit's note sorts just before its row.
-    rows = base.select(bucket.alias("r"), "k", F.lit(1).alias("kind"), F.sha2("b", 256).alias("d"), F.lit(None).cast("long").alias("first"), "u", "b")
-    notes = revisits.select(bucket.alias("r"), "k", F.lit(0).alias("kind"), "d", "first", F.lit(None).cast("string").alias("u"), F.lit(None).cast("binary").alias("b"))
-    dealt = rows.unionByName(notes).repartition(len(splits) + 1, "r").sortWithinPartitions("r", "k", "kind", "d", "u")
+    # Payloads are shuffled once, each range to a task of its own; a revisit's note sorts just before its rows.
+    rows = base.select("k", F.lit(1).alias("kind"), F.sha2("b", 256).alias("d"), F.lit(None).cast("long").alias("first"), "u", "b")
+    notes = revisits.select("k", F.lit(0).alias("kind"), "d", "first", F.lit(None).cast("string").alias("u"), F.lit(None).cast("binary").alias("b"))
+    dealt = rows.unionByName(notes).withColumn("r", bucket)
+    dealt = dealt.repartitionById(len(ranges), "r").sortWithinPartitions("r", "k", "d", "kind", "u")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, roller, at, notes, copies, responses = Store(root), None, None, {}, 0, {}
+        store, roller, at, note, copies = Store(root), None, None, None, 0
         for pdf in batches:
             for r, k, kind, d, first, u, b in zip(pdf["r"].tolist(), pdf["k"].tolist(), pdf["kind"].tolist(), pdf["d"].tolist(), pdf["first"].astype("Int64"), pdf["u"], pdf["b"], strict=True):
                 if roller is None or roller.shard != r:
@@ -188,15 +186,14 @@ def write_archives(pages: DataFrame, root: str, key: str = "page_id", url: str =
                         roller.close()
                         yield pd.DataFrame(roller.done, columns=names)
                     roller, at = Roller(store, r, roll_bytes, level), None
-                if at != k:
-                    at, notes, copies, responses = k, {}, 0, {}
+                if at != (k, d):
+                    at, note, copies = (k, d), None, 0
                 if not kind:
-                    notes[d] = int(first)
+                    note = int(first)
                     continue
                 b = bytes(b)
-                refers = record_id(notes[d], 0) if d in notes else responses.get(d)
-                if refers is None and len(b) >= least_revisit:
-                    responses[d] = record_id(k, copies)
+                again = copies and len(b) >= least_revisit
+                refers = record_id(note, d, 0) if note is not None else record_id(k, d, 0) if again else None
                 roller.add(record(k, copies, None if pd.isna(u) else u, b, d, refers, date))
                 copies += 1
         if roller is not None:
