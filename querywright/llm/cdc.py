@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querywright.llm.common import range_bucket, range_splits
+from querywright.llm.common import KeyRanges, range_bytes
 
 LEAST, WISHED, MOST = 8, 32, 128
 #: Bits of the gear hash that must be zero: two more than the wished length asks for, and two less.
@@ -114,39 +114,46 @@ OUT = T.StructType(
 ARROW = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
 
-def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", bytes_per_range: int = 4 << 20, most_ranges: int = 4096) -> DataFrame:
+def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", bytes_per_range: int = 4 << 20) -> DataFrame:
     """Fingerprints of each text, of its edited form, and their likeness to each other and to the next text's.
 
     Rows go by descending key; the row after the last is the first.  They are dealt
     into key ranges, each read in order by one task, and the first row of each range
     goes along to the end of the range before.  Texts are shuffled once.
+    ``bytes_per_range`` is the text a range aims at (``range_bytes`` raises it for very
+    large tables).
 
     Defined results: null texts count as empty; a null key sorts last (after the
-    smallest key) and rows of equal key by their text's hash, then text; an empty
-    table gives an empty result; a single row is its own next; other columns of
-    ``docs`` are left out.
+    smallest key) and rows of equal key by their text's hash, then text, each with the
+    following row as its next, so repeated rows have each other; texts are read whole,
+    however long; an empty table gives an empty result; a single row is its own next;
+    other columns of ``docs`` are left out.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("o", F.coalesce("k", F.lit(-(1 << 63))))
     # Bytes place the cuts only; octet_length reads no Python.
-    size = base.agg(F.sum(F.octet_length("t").cast("long")).alias("n")).first()["n"] or 0
-    splits = range_splits(docs.select(F.col(key).cast("long").alias("k")), "k", int(min(most_ranges, max(1, size // bytes_per_range))))
-    ranged = base.withColumn("r", range_bucket(F.col("k"), splits))
+    sizes = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("o"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 16).cast("long").alias("n"))
+    size = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    ranges = KeyRanges(sizes, "o", "n", int(max(1, size // range_bytes(size, bytes_per_range))))
+    # The upper half of the signed hash, from 0 on: it ascends with the hash.
+    spot = F.shiftright(F.xxhash64("t"), 32) + (1 << 31)
+    ranged = base.withColumn("r", ranges.bucket(F.col("o"), spot))
 
     # The row that follows a range's last one: the first (largest) of the next lower range that has rows.
-    order = F.struct(F.coalesce("k", F.lit(-(1 << 63))), F.xxhash64("t"), F.col("t"))
-    heads = ranged.groupBy("r").agg(F.max(F.coalesce("k", F.lit(-(1 << 63)))).alias("top")).orderBy(F.desc("r")).collect()
-    wanted = [(heads[(i + 1) % len(heads)]["r"], heads[(i + 1) % len(heads)]["top"], h["r"]) for i, h in enumerate(heads)]
+    order = F.struct("o", F.xxhash64("t").alias("h"), "t", "k")
+    heads = ranged.groupBy("r").agg(F.max(F.struct("o", F.xxhash64("t").alias("h"))).alias("top")).orderBy(F.desc("r")).collect()
+    after = [heads[(i + 1) % len(heads)] for i in range(len(heads))]
+    wanted = [(a["r"], a["top"]["o"], a["top"]["h"], h["r"]) for a, h in zip(after, heads, strict=True)]
     if not wanted:
         return spark.createDataFrame([], OUT)
-    # One row for each range: bounded by most_ranges.
-    plan = spark.createDataFrame(wanted, "r int, top long, goes_to int")
-    first = ranged.join(F.broadcast(plan), "r").where(F.coalesce("k", F.lit(-(1 << 63))) == F.col("top"))
-    first = first.groupBy("goes_to").agg(F.max(order).alias("o")).select(F.col("o.col1").alias("k"), F.col("o.t").alias("t"), F.col("goes_to").alias("r"))
-
-    rows = ranged.select("r", F.lit(0).alias("tail"), "k", "t").unionByName(first.select("r", F.lit(1).alias("tail"), "k", "t"))
-    # As many partitions as ranges, so that no task holds many.
-    dealt = rows.repartition(max(len(heads), 1), "r").sortWithinPartitions("r", "tail", F.desc(F.coalesce("k", F.lit(-(1 << 63)))), F.desc(F.xxhash64("t")), F.desc("t"))
+    # One row for each range.
+    plan = spark.createDataFrame(wanted, "r int, top long, top_h long, goes_to int")
+    first = ranged.join(F.broadcast(plan), "r").where((F.col("o") == F.col("top")) & (F.xxhash64("t") == F.col("top_h")))
+    first = first.groupBy("goes_to").agg(F.max(order).alias("m")).select(F.col("m.k").alias("k"), F.col("m.o").alias("o"), F.col("m.t").alias("t"), F.col("goes_to").alias("r"))
+
+    rows = ranged.select("r", F.lit(0).alias("tail"), "k", "o", "t").unionByName(first.select("r", F.lit(1).alias("tail"), "k", "o", "t"))
+    # Each range to a task of its own.
+    dealt = rows.repartitionById(len(ranges), "r").sortWithinPartitions("r", "tail", F.desc("o"), F.desc(F.xxhash64("t")), F.desc("t")).drop("o")
 
     def run(batches):
         # One row at a time out of each Arrow batch: texts never stand in memory twice over.
