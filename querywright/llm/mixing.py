@@ -18,10 +18,12 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querywright.llm.common import bucket_count, hash_bucket, running_totals, seeded, written
+from querywright.llm.common import bucket_count, hash_bucket, running_totals, seeded, spread_join, written
 
 #: What a word is: a run of bytes outside the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources with a target up to which they are listed in the plan.
+MOST_NAMED = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -71,10 +73,11 @@ class FlowNetwork:
         return self.room[edge ^ 1]
 
     def run(self, source: int, sink: int, slack: float = 1e-6) -> float:
+        """The cheapest greatest flow.  Each round finds the distances and fills all shortest paths at once."""
         n, sent = len(self.out), 0.0
         lift = [0.0] * n
         while True:
-            far, via = [float("inf")] * n, [-1] * n
+            far = [float("inf")] * n
             far[source], heap = 0.0, [(0.0, source)]
             while heap:
                 d, a = heapq.heappop(heap)
@@ -82,20 +85,49 @@ class FlowNetwork:
                     continue
                 for e in self.out[a]:
                     if self.room[e] > slack and d + (step := self.cost[e] + lift[a] - lift[self.head[e]]) < far[self.head[e]] - 1e-12:
-                        far[self.head[e]], via[self.head[e]] = d + step, e
+                        far[self.head[e]] = d + step
                         heapq.heappush(heap, (d + step, self.head[e]))
-            if via[sink] < 0:
+            if far[sink] == float("inf"):
                 return sent
-            lift = [x + (d if d < float("inf") else 0.0) for x, d in zip(lift, far, strict=True)]
-            push, a = float("inf"), sink
-            while a != source:
-                push, a = min(push, self.room[via[a]]), self.head[via[a] ^ 1]
-            a = sink
-            while a != source:
-                self.room[via[a]] -= push
-                self.room[via[a] ^ 1] += push
-                a = self.head[via[a] ^ 1]
-            sent += push
+            lift = [x + min(d, far[sink]) for x, d in zip(lift, far, strict=True)]
+            while (more := self.fill(source, sink, lift, slack)) > 0:
+                sent += more
+
+    def fill(self, source: int, sink: int, lift: list[float], slack: float) -> float:
+        """A blocking flow over the edges on shortest paths, by levels from the source."""
+
+        def on_path(a: int, e: int) -> bool:
+            return self.room[e] > slack and abs(self.cost[e] + lift[a] - lift[self.head[e]]) < 1e-9
+
+        level, queue = {source: 0}, [source]
+        for a in queue:
+            for e in self.out[a]:
+                if self.head[e] not in level and on_path(a, e):
+                    level[self.head[e]] = level[a] + 1
+                    queue.append(self.head[e])
+        if sink not in level:
+            return 0.0
+        at, path, sent = {a: 0 for a in level}, [], 0.0
+        while True:
+            a = self.head[path[-1]] if path else source
+            if a == sink:
+                push = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= push
+                    self.room[e ^ 1] += push
+                sent += push
+                path = path[: next(i for i, e in enumerate(path) if self.room[e] <= slack)]
+                continue
+            while at[a] < len(self.out[a]):
+                e = self.out[a][at[a]]
+                if level.get(self.head[e], -1) == level[a] + 1 and on_path(a, e):
+                    path.append(e)
+                    break
+                at[a] += 1
+            else:
+                if not path:
+                    return sent
+                at[self.head[path.pop() ^ 1]] += 1
 
 
 def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, float], copies: int = 2) -> dict[tuple[tuple[str, ...], str], float]:
@@ -120,14 +152,14 @@ def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, float], copies
     return {k: net.flow_on(e) for k, e in links.items()}
 
 
-def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size: str, key: str = "doc_id", seed: int = 4) -> DataFrame:
+def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size: str, key: str = "doc_id", seed: int = 4, tie: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``copies`` (int) and ``taken`` (long): documents in seeded order until a pattern's flow is met.
 
     ``pattern`` names an array column of sorted sources.  A flow F over a pattern of
     S tokens takes every document floor(F / S) times and, once more, those that fit
     into the rest of F in the seeded order; the gap that these leave is filled by
-    the document whose size comes nearest to it.  Documents of equal key and size
-    are ordered as equal rows are.
+    the document whose size comes nearest to it.  Documents of equal key are ordered
+    by size, then by the ``tie`` columns; those equal in all of them are equal rows.
     Columns named ``copies`` or ``taken`` are replaced.
     """
     spark = docs.sparkSession
@@ -142,7 +174,7 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     plan = spark.createDataFrame([("\x1f".join("v" + s for s in p), float(f)) for p, f in flows.items()], "_qw_p string, _qw_f double")
     totals = sums.groupBy("_qw_p").agg(F.sum("n").alias("_qw_s"))
     before = before.join(totals.join(plan, "_qw_p"), "_qw_p")
-    inside = Window.partitionBy("_qw_p", "_qw_c").orderBy("_qw_o", F.col(key), size).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_qw_p", "_qw_c").orderBy("_qw_o", F.col(key), size, *tie).rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_qw_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(before, ["_qw_p", "_qw_c"], "left")
     whole = F.when(F.col("_qw_s") > 0, F.floor(F.col("_qw_f") / F.col("_qw_s") + 1e-9)).otherwise(F.lit(0))
     placed = placed.withColumn("_qw_whole", F.coalesce(whole, F.lit(0))).withColumn("_qw_rest", F.coalesce(F.col("_qw_f") - F.col("_qw_whole") * F.col("_qw_s"), F.lit(0.0)))
@@ -150,69 +182,77 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     placed = written(placed.withColumn("_qw_end", F.col("_qw_before") + F.col("_qw_in") + F.col(size)).drop("_qw_c", "_qw_o", "_qw_in", "_qw_before", "_qw_f"), "mix-order")
 
     fits = (F.col(size) > 0) & (F.col("_qw_end") <= F.col("_qw_rest") + 1e-6)
-    gaps = placed.groupBy("_qw_p").agg((F.max("_qw_rest") - F.coalesce(F.max(F.when(fits, F.col("_qw_end"))), F.lit(0))).alias("_qw_gap"))
+    # One row for each pattern; documents meet it by joins that are spread over tasks.
+    gap = F.max("_qw_rest") - F.coalesce(F.max(F.when(fits, F.col("_qw_end"))), F.lit(0))
+    gaps = written(placed.groupBy("_qw_p").agg(gap.alias("_qw_gap"), F.count(F.lit(1)).alias("_qw_m")), "mix-gaps")
     off = F.abs(F.col(size) - F.col("_qw_gap"))
-    last = placed.where(~fits & (F.col(size) > 0)).join(gaps, "_qw_p").where(off < F.col("_qw_gap"))
+    last = spread_join(placed.where(~fits & (F.col(size) > 0)).select("_qw_p", size, "_qw_end"), gaps, "_qw_p", "_qw_m", rows).where(off < F.col("_qw_gap"))
     last = last.groupBy("_qw_p").agg(F.min(F.struct(off.alias("off"), F.col("_qw_end").alias("end"))).alias("l")).select("_qw_p", F.col("l.end").alias("_qw_last"))
+    told = written(gaps.join(last, "_qw_p", "left").select("_qw_p", "_qw_m", "_qw_last"), "mix-last")
     once_more = F.when(fits | F.coalesce(F.col("_qw_end") == F.col("_qw_last"), F.lit(False)), 1).otherwise(0)
     copies = F.when(F.col(size) > 0, F.col("_qw_whole") + once_more).otherwise(0).cast("int")
-    chosen = placed.join(last, "_qw_p", "left").withColumn("copies", copies)
+    chosen = spread_join(placed, told, "_qw_p", "_qw_m", rows).withColumn("copies", copies)
     return chosen.withColumn("taken", (F.col("copies") * F.coalesce(F.col(size), F.lit(0))).cast("long")).select(*keep, "copies", "taken")
 
 
-def mix_by_membership(docs: DataFrame, members: str, size: str, targets: dict[str, float], most_copies: int = 2, key: str = "doc_id", seed: int = 4) -> DataFrame:
+def mix_by_membership(docs: DataFrame, members: str, size: str, targets: dict[str, float], most_copies: int = 2, key: str = "doc_id", seed: int = 4, most_patterns: int = 1_000_000, tie: tuple[str, ...] = ()) -> DataFrame:
     """Mix documents that may belong to several sources: ``docs`` with ``copies`` and ``taken``.
 
     ``members`` names an array column of sources, ``size`` a column of token counts,
     ``targets`` gives each source its quota.  Documents of one membership pattern are
-    alike to the flow, whose network is as large as the number of patterns; that
-    number is collected, the documents are not.
+    alike to the flow, whose network has a node for each pattern of sources with a
+    target.  The patterns' sums are collected, the documents are not; more than
+    ``most_patterns`` of them are refused rather than brought to the driver.
 
     Defined results: a null or empty membership, null members and sources without a
     target take no part, so such documents have 0 copies; a source whose documents do
     not reach its quota at ``most_copies`` copies falls short of it.
     """
     named = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(members), F.array().cast("array<string>")))))
-    held = docs.withColumn("_qw_pattern", named)
-    sizes = held.groupBy("_qw_pattern").agg(F.sum(size).alias("n")).collect()
+    # Sources without a target have no say in the flow, so they make no patterns of their own.
+    asked = F.array_intersect(named, F.array(*map(F.lit, sorted(targets)))) if len(targets) <= MOST_NAMED else named
+    held = docs.withColumn("_qw_pattern", asked)
+    sizes = held.groupBy("_qw_pattern").agg(F.sum(size).alias("n")).limit(most_patterns + 1).collect()
+    if len(sizes) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns")
     flows = route({tuple(r["_qw_pattern"]): r["n"] or 0 for r in sizes}, targets, most_copies)
     total: dict[tuple[str, ...], float] = {tuple(r["_qw_pattern"]): 0.0 for r in sizes}
     for (p, _), f in flows.items():
         total[p] += f
-    return mix(held, total, "_qw_pattern", size, key, seed).drop("_qw_pattern")
+    return mix(held, total, "_qw_pattern", size, key, seed, tie).drop("_qw_pattern")
 
 
-def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 4) -> DataFrame:
     """Mix documents that belong to one source each, weights going round ``cycle`` over the sorted sources.
 
-    Returns key, source, size, source_size, target, copies, taken (and ``carry``).
-    Sources sort by code point, null last.  Null and blank texts have size 0 and are
-    never taken; sources without words get target 0.
+    Returns key, source, size, source_size, target, copies, taken, and ``_qw_th``, the
+    text's hash.  Sources sort by code point, null last.  Null and blank texts have size 0
+    and are never taken; sources without words get target 0.  Rows with a null key are
+    mixed as others are; repeated rows are rows of their own; texts are counted whole; an
+    empty table gives an empty result; other columns are left out.
     """
     # UTF-8 bytes sort as code points do; a null source gets a mark of its own.
     mark = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
-    sized = docs.select(F.col(key), F.col(source), *carry, word_count(F.col(text)).alias("size"), mark.alias("_qw_mark"))
-    if not carry:
-        sized = written(sized, "mix-sizes")
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_qw_th")
+    sized = written(docs.select(F.col(key), F.col(source), word_count(F.col(text)).alias("size"), mark.alias("_qw_mark"), own), "mix-sizes")
     per_source = sized.groupBy("_qw_mark").agg(F.sum("size").alias("n")).collect()
     sizes = sorted(((r["_qw_mark"], r["n"]) for r in per_source), key=lambda x: x[0])
     weights = [float(cycle[i % len(cycle)]) for i in range(len(sizes))]
     targets = capped_targets(sizes, weights, share, cap)
     quotas = {m: t for (m, _), t in zip(sizes, targets, strict=True)}
-    mixed = mix_by_membership(sized.withColumn("_qw_of", F.array("_qw_mark")), "_qw_of", "size", quotas, max(1, int(cap)), key, seed)
+    mixed = mix_by_membership(sized.withColumn("_qw_of", F.array("_qw_mark")), "_qw_of", "size", quotas, max(1, int(cap)), key, seed, tie=("_qw_th",))
     spark = docs.sparkSession
     info = spark.createDataFrame([(m, n, t) for (m, n), t in zip(sizes, targets, strict=True)], "_qw_mark string, source_size long, target double")
-    return mixed.join(info, "_qw_mark", "left").select(key, source, *carry, "size", "source_size", "target", "copies", "taken")
+    return mixed.join(F.broadcast(info) if len(sizes) <= MOST_NAMED else info, "_qw_mark", "left").select(key, source, "size", "source_size", "target", "copies", "taken", "_qw_th")
 
 
 def repeat_taken(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it; rows of equal key go together.
+    """``docs`` with each row as many times as the mix takes it; rows of equal key and text go together.
 
     Null and blank texts are never taken.
     """
     taken = mix_single_sources(docs, source, text, key, **options)
-    # Rows of one key share their place in the seeded order but for its ties; the count goes by key and text size.
-    counts = taken.groupBy(F.col(key).alias("_qw_k"), F.col("size").alias("_qw_n")).agg(F.max("copies").alias("_qw_copies")).where("_qw_copies > 0")
-    sized = docs.withColumn("_qw_n2", word_count(F.col(text)))
-    met = sized.join(counts, (sized[key].eqNullSafe(counts["_qw_k"])) & (F.col("_qw_n2") == F.col("_qw_n")))
+    counts = taken.where("copies > 0").groupBy(F.col(key).alias("_qw_k"), F.col("_qw_th").alias("_qw_t")).agg(F.max("copies").alias("_qw_copies"))
+    named = docs.withColumn("_qw_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    met = named.join(counts, named[key].eqNullSafe(counts["_qw_k"]) & (named["_qw_h"] == counts["_qw_t"]))
     return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_qw_copies"))).alias("_qw_copy")).select(*docs.columns)
