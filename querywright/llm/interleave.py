@@ -8,7 +8,7 @@ sizes that differ by one row at most.
 
 No source meets in one task: ranks come from counts per (source, hash bucket)
 plus a rank inside the bucket, and the global place from closed-form counts per
-interval bucket plus a rank inside it.
+interval bucket (or counted ones) plus a rank inside it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from querywright.llm.common import bucket_count, hash_bucket, running_totals, se
 _TMP = ("_qw_key", "_qw_order", "_qw_cell", "_qw_before", "_qw_n", "_qw_rank", "_qw_place", "_qw_slice", "_qw_start", "_qw_at")
 
 
-def interleave(df: DataFrame, n_shards: int, stratum: str = "source", key: str = "doc_id", seed: int = 10, tie: tuple[str, ...] = ()) -> DataFrame:
+def interleave(df: DataFrame, n_shards: int, stratum: str = "source", key: str = "doc_id", seed: int = 10, tie: tuple[str, ...] = (), most_closed: int = 20_000_000) -> DataFrame:
     """``df`` with ``shard`` (int, 0..n_shards-1) and ``slot`` (long, gapless from 0 in each shard).
 
     Defined results: a null stratum is a stratum of its own; rows of equal key are
@@ -52,12 +52,7 @@ def interleave(df: DataFrame, n_shards: int, stratum: str = "source", key: str =
     odd = 2 * F.col("_qw_rank") - 1
     ranked = ranked.withColumn("_qw_place", odd / (2 * F.col("_qw_n"))).withColumn("_qw_slice", F.expr(f"(2 * _qw_rank - 1) * {cells}L div (2 * _qw_n)"))
 
-    # How many rows lie before slice j: of a stratum with n rows, those ranks r with
-    # (2r - 1) * cells < 2jn.
-    sizes = strata.groupBy("_qw_n").agg(F.count(F.lit(1)).alias("m"))
-    slices = sizes.select("_qw_n", "m", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_qw_slice"))
-    part = F.expr(f"CASE WHEN _qw_slice = 0 THEN 0 ELSE (((2L * _qw_slice * _qw_n - 1) div {cells}L) + 1) div 2 END")
-    starts = slices.groupBy(F.col("_qw_slice").cast("long").alias("_qw_slice")).agg(F.sum(part * F.col("m")).alias("_qw_start"))
+    starts = slice_starts(strata, ranked, cells, most_closed)
 
     local = Window.partitionBy("_qw_slice").orderBy("_qw_place", "_qw_key")
     placed = ranked.withColumn("_qw_at", F.row_number().over(local)).join(starts, "_qw_slice")
@@ -65,3 +60,20 @@ def interleave(df: DataFrame, n_shards: int, stratum: str = "source", key: str =
     shard = F.expr(f"_qw_at * {n_shards}L div {max(total, 1)}L")
     first = F.expr(f"(shard * {total}L + {n_shards - 1}L) div {n_shards}L")
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_qw_at") - first).cast("long")).select(*keep, "shard", "slot")
+
+
+def slice_starts(strata: DataFrame, ranked: DataFrame, cells: int, most_closed: int) -> DataFrame:
+    """(_qw_slice, _qw_start): how many rows lie before each slice of the unit interval.
+
+    Strata of equal size fill the slices alike, so the numbers follow from the sizes
+    alone: of a stratum with n rows, the ranks r with (2r - 1) * cells < 2jn lie before
+    slice j.  Where distinct sizes times slices pass ``most_closed``, the rows of each
+    slice are counted instead; both ways give the same numbers.
+    """
+    sizes = strata.groupBy("_qw_n").agg(F.count(F.lit(1)).alias("m"))
+    if sizes.count() * cells > most_closed:
+        held = ranked.groupBy("_qw_slice").agg(F.count(F.lit(1)).alias("n")).withColumn("_qw_all", F.lit(0))
+        return running_totals(held, ["_qw_all"], "_qw_slice", {"n": "_qw_start"}).drop("_qw_all")
+    slices = sizes.select("_qw_n", "m", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_qw_slice"))
+    part = F.expr(f"CASE WHEN _qw_slice = 0 THEN 0 ELSE (((2L * _qw_slice * _qw_n - 1) div {cells}L) + 1) div 2 END")
+    return slices.groupBy(F.col("_qw_slice").cast("long").alias("_qw_slice")).agg(F.sum(part * F.col("m")).alias("_qw_start"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywright.llm import bpe_count, cdc, html_blocks, interleave, jaccard, langid, mixing, oracle, ordinal, spaced, warc
-from querywright.llm.common import read_table
+from querywright.llm.common import read_table, written
 
 TOKEN_LIMIT = 512
 N_SHARDS = 40
@@ -77,7 +77,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
     )
-    dealt = interleave.interleave(sized, N_SHARDS, tie=("text_crc32", "size"))
+    dealt = interleave.interleave(written(sized, "shard-sizes"), N_SHARDS, tie=("text_crc32", "size"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
