@@ -47,6 +47,14 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.cuts[None, :], -500, 500)))
 
 
+def penalised_loss(w: np.ndarray, cuts: np.ndarray, rows: list[np.ndarray], grades: np.ndarray, ridge: float) -> float:
+    """What ``fit`` minimises: the mean negative log likelihood and the ridge on the weights."""
+    score = np.array([w[r].sum() for r in rows])
+    over = np.column_stack([np.ones(len(rows)), 1 / (1 + np.exp(-(score[:, None] - cuts[None, :]))), np.zeros(len(rows))])
+    here = np.arange(len(rows))
+    return float(-np.log(over[here, grades] - over[here, grades + 1]).mean() + ridge / 2 * (w @ w))
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, rounds: int = 500, ridge: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood by Adam on all rows at once, the step falling to nothing.
 
@@ -99,13 +107,13 @@ def grades_from_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.where(F.col("toxic").isNotNull()).select(key, grade.alias("grade")).distinct()
 
 
-def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", n_grades: int = 3, sample_rows: int = 16_000, least_docs: int = 4, least_lift: float = 4.0, n_features: int = 6_000, seed: int = 1) -> OrdinalModel | None:
+def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", n_grades: int = 3, sample_rows: int = 16_000, least_docs: int = 4, least_lift: float = 4.0, seed: int = 1) -> OrdinalModel | None:
     """Fit on the texts of a seeded sample of about ``sample_rows`` graded rows; None if it holds fewer than two grades.
 
-    Kept are the ``n_features`` features whose presence differs most between grade 0
-    and the others, of those in ``least_docs`` sampled rows at least and off by
-    ``least_lift`` standard deviations at least; others would only be fitted to chance.
-    Null texts count as empty, rows of null grade are left out.
+    Kept are all features in ``least_docs`` sampled rows at least whose presence differs
+    between grade 0 and the others by ``least_lift`` standard deviations at least; others
+    would only be fitted to chance.  Null texts count as empty, rows of null grade are
+    left out; graded rows without a document (or an empty documents table) add nothing.
     """
     grades = grades.where(F.col(grade).isNotNull())
     total = grades.count()
@@ -126,7 +134,7 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "
         return None
     rows_n, base = sum(by_grade.values()), 1 - by_grade.get(0, 0) / sum(by_grade.values())
     lift = F.abs(F.col("up") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base) + 1e-9)
-    chosen = [r["f"] for r in seen.where((F.col("n") >= min(least_docs, rows_n)) & (lift >= least_lift)).orderBy(F.desc(lift), "f").limit(n_features).select("f").collect()]
+    chosen = [r["f"] for r in seen.where((F.col("n") >= min(least_docs, rows_n)) & (lift >= least_lift)).select("f").orderBy("f").collect()]
     place = {f: i for i, f in enumerate(chosen)}
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
@@ -143,8 +151,10 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "
 def severity(spark: SparkSession, text: Column, model: OrdinalModel | None, n_grades: int = 3) -> Column:
     """A struct (expected_severity double, p_toxic double, grade int) for each whole text.
 
-    ``p_toxic`` is P(grade > 0), ``grade`` the likeliest grade.  Null counts as empty;
-    without a model (no labels of two grades) all three are null.
+    ``p_toxic`` is P(grade > 0), ``grade`` the likeliest grade (of equally likely ones
+    the lowest).  Null counts as empty, an empty text has the score 0 of no features;
+    texts are read whole, however long, and a repeated word counts once; equal texts get
+    equal results; without a model (no labels of two grades) all three are null.
     """
     if model is None:
         return F.struct(F.lit(None).cast("double").alias("expected_severity"), F.lit(None).cast("double").alias("p_toxic"), F.lit(None).cast("int").alias("grade"))
