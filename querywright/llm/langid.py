@@ -6,8 +6,8 @@ the product of the pieces' probabilities; a forward pass over character
 positions adds them all up.  A text's score is the product over its words.
 
 Training is expectation maximisation on a bounded sample of labelled documents
-(``sample_docs`` for each language, ``sample_words`` word types in all; whole
-texts).  Everything else sees all documents.
+(``sample_docs`` for each language; whole texts, all their words).  Everything else
+sees all documents.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNDETERMINED = "und"
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-LONGEST_PIECE = 16
 #: From this length on, forward values are rescaled at each step.
 SCALED_FROM = 40
 
@@ -44,7 +43,8 @@ def load_pieces(path: str) -> list[str]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
     pieces = {sp.id_to_piece(i).lower() for i in ids}
-    return sorted(p for p in pieces if p and len(p) <= LONGEST_PIECE)
+    return sorted(p for p in pieces if p)
+
 
 #: Of the rolling hash: an odd multiplier, a value that stands for no hash, a table without pieces.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -199,11 +199,13 @@ def expected_counts(model: UnigramModel, words: list[str], counts: np.ndarray) -
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
     for n, rows in by_length.items():
-        if n >= SCALED_FROM:
-            continue  # such long words add nothing that others don't show
         for lo in range(0, len(rows), 5_000):
             part = rows[lo : lo + 5_000]
             same, weight = [words[k] for k in part], counts[part]
+            if n >= SCALED_FROM:
+                for k, word in enumerate(same):
+                    add_long_word(model, word, weight[k], out)
+                continue
             cuts = {(i, j): ids for i, j, ids in model.cuts(same)}
             shape = (len(same), len(model.langs))
             fwd, bwd = [np.zeros(shape) for _ in range(n + 1)], [np.zeros(shape) for _ in range(n + 1)]
@@ -220,9 +222,28 @@ def expected_counts(model: UnigramModel, words: list[str], counts: np.ndarray) -
     return out
 
 
+def add_long_word(model: UnigramModel, word: str, weight: np.ndarray, out: np.ndarray) -> None:
+    """Add one word's expected uses to ``out``, with logarithms: products over long words vanish."""
+    n, logs = len(word), np.full(model.prob.shape, -np.inf)
+    np.log(model.prob, out=logs, where=model.prob > 0)
+    at, to, ids = (np.array(x) for x in zip(*[(i, j, int(p[0])) for i, j, p in model.cuts([word]) if p[0]], strict=True))
+    fwd, bwd = (np.full((n + 1, len(model.langs)), -np.inf) for _ in range(2))
+    fwd[0] = bwd[n] = 0
+    ends, starts = np.searchsorted(np.sort(to), np.arange(n + 2)), np.searchsorted(at, np.arange(n + 2))
+    by_end = np.argsort(to, kind="stable")
+    for j in range(1, n + 1):
+        some = by_end[ends[j] : ends[j + 1]]
+        fwd[j] = np.logaddexp.reduce(fwd[at[some]] + logs[ids[some]], axis=0)
+    for i in range(n - 1, -1, -1):
+        some = slice(starts[i], starts[i + 1])
+        bwd[i] = np.logaddexp.reduce(bwd[to[some]] + logs[ids[some]], axis=0)
+    np.add.at(out, ids, np.exp(fwd[at] + logs[ids] + bwd[to] - fwd[n]) * weight)
+
+
 def fit(words: list[str], counts: np.ndarray, langs: list[str], prior: np.ndarray, pieces: list[str], rounds: int = 3, smooth: float = 0.1) -> UnigramModel:
     """Expectation maximisation from equal probabilities.  ``counts``: words by languages."""
-    present = {w[i:j] for w in (MARK + x for x in words) for i in range(len(w)) for j in range(i + 1, min(len(w), i + LONGEST_PIECE) + 1)}
+    longest = max(map(len, pieces), default=1)
+    present = {w[i:j] for w in (MARK + x for x in words) for i in range(len(w)) for j in range(i + 1, min(len(w), i + longest) + 1)}
     pieces = [p for p in pieces if p in present or len(p) == 1]
     prob = np.full((len(pieces) + 2, len(langs)), 1.0 / (len(pieces) + 1))
     prob[0] = 0
@@ -235,7 +256,7 @@ def fit(words: list[str], counts: np.ndarray, langs: list[str], prior: np.ndarra
     return model
 
 
-def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 500, sample_words: int = 200_000, seed: int = 7) -> UnigramModel | None:
+def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 500, seed: int = 7) -> UnigramModel | None:
     """Fit on a seeded sample of about ``sample_docs`` whole texts of each language; None without labelled words."""
     known = labelled.where(F.col(lang).isNotNull())
     sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
@@ -259,8 +280,8 @@ def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
         yield pd.DataFrame([(a, b, n) for (a, b), n in table.items()], columns=["lang", "word", "n"])
 
     table = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # Ties at the cut are broken by the word, so that reruns agree.
-    rows = table.orderBy(F.desc("n"), "word", "lang").limit(sample_words).toPandas()
+    # All word types of the sample: its size is what bounds them.
+    rows = table.toPandas()
     if rows.empty:
         return None
     column = {name: k for k, name in enumerate(langs)}
@@ -276,7 +297,8 @@ def predict(spark: SparkSession, text: Column, model: UnigramModel | None) -> Co
     """A struct (lang_pred string, score double) for each text.
 
     Null texts, texts without a letter and all texts under a missing model give
-    ``und`` with score 0.  Equal texts get equal results; texts are read whole.
+    ``und`` with score 0.  Equal texts get equal results; texts are read whole, however
+    long, as are words of any length; equally likely languages are settled by name.
     """
     if model is None:
         return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
