@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querywright.llm.common import written
+from querywright.llm.common import drop_written, spread_join, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,18 +17,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes in random order takes nine rounds.  Rounds go on until no node has a
     neighbour with a smaller label; labels only fall, so that comes, and then all of a
     component have the label of its smallest node.  Each round is written in the shared
-    folder.  Nodes are longs; edges to oneself and repeated edges do no harm.
+    folder, and the round before it is deleted.  The edges of a hub, or the nodes of one
+    label, don't meet in one task: both joins are spread.  Nodes are longs; edges to
+    oneself and repeated edges do no harm.
     """
+    spark = edges.sparkSession
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
     both = written(both.distinct(), "cc-edges")
-    labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")), "cc-labels")
+    ends = both.count()
+    labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l"), F.count(F.lit(1)).alias("n")), "cc-labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        seen = written(labels.join(near, "x").select("x", "l", "m"), "cc-seen")
+        told = labels.select(F.col("x").alias("y"), "l", "n")
+        near = spread_join(both, told, "y", "n", ends).groupBy("x").agg(F.min("l").alias("m"))
+        seen = written(labels.join(near, "x").select("x", "l", "m", "n"), "cc-seen")
         lower = seen.where(F.col("m") < F.col("l"))
         if lower.isEmpty():
+            drop_written(spark, seen)
             return labels.select(F.col("x").alias("node"), F.col("l").alias("root"))
         hooks = lower.groupBy(F.col("l").alias("x")).agg(F.min("m").alias("h"))
-        step = written(seen.join(hooks, "x", "left").select("x", F.least("l", "m", "h").alias("l")), "cc-step")
-        jump = step.select(F.col("x").alias("l"), F.col("l").alias("ll"))
-        labels = written(step.join(jump, "l").select("x", F.least("l", "ll").alias("l")), "cc-labels")
+        step = written(seen.join(hooks, "x", "left").select("x", F.least("l", "m", "h").alias("l"), "n"), "cc-step")
+        held = step.groupBy("l").agg(F.count(F.lit(1)).alias("k"))
+        jump = step.select(F.col("x").alias("l"), F.col("l").alias("ll")).join(held, "l")
+        after = written(spread_join(step, jump, "l", "k", nodes).select("x", F.least("l", "ll").alias("l"), "n"), "cc-labels")
+        drop_written(spark, seen, step, labels)
+        labels = after

@@ -1,11 +1,11 @@
 """Operator 8, n-gram Jaccard join: MinHash banding, then exact checks on full n-gram sets.
 
 1. Every text gives the set of its word n-grams, hashed to 64 bits.  Documents of
-   equal sets are one class, stood for by its smallest id; copies are never paired.
+   equal sets are one class, a node of the graphs below; copies are never paired.
 2. Each class has ``bands`` keys of ``rows`` MinHash values.  The two numbers come
    from the wished recall at the threshold.  Keys are shuffled, and each document is
-   linked to the smallest id of its key: a star, so a key that very many share makes
-   no pairs.
+   linked to the smallest node of its key: a star, so a key that very many share makes
+   no pairs.  Joins on keys that many rows share are spread (``spread_join``).
 3. Components of these stars are candidate groups.  A group is cut into blocks of
    bounded size, and each pair of blocks is checked by one task: exact intersections
    of the full sets, all pairs of the two blocks.  Links are counted, not listed.
@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querywright.llm.common import written
+from querywright.llm.common import spread_join, written
 from querywright.llm.components import components
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
@@ -133,9 +133,9 @@ def streamed(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def known_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, t, th) of the rows with a key."""
-    known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return known.withColumn("th", F.xxhash64("t"))
+    """(id, t, th): key (may be null), text (null as empty) and text hash; (id, th) names a row."""
+    told = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return told.withColumn("th", F.xxhash64("t"))
 
 
 class Forest:
@@ -180,35 +180,32 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(id, links, root) for each document of each block pair: links found there, and a linked smaller id.
+    """(node, links, root) for each node of each block pair: links found there, and a linked smaller node.
 
     Rows come sorted by (grp, lo, hi); one block pair is held at a time, two blocks
     at most.
     """
 
     def run(batches):
-        # Repeated rows of a document are held once.
-        at, held = None, {}
-        names = ("grp", "lo", "hi", "block", "id", "th", "copies", "t")
+        at, held = None, []
+        names = ("grp", "lo", "hi", "block", "node", "copies", "t")
         for batch in batches:
             out = []
-            for grp, lo, hi, block, k, th, copies, t in streamed(batch, *names):
+            for grp, lo, hi, block, node, copies, t in streamed(batch, *names):
                 if (grp, lo, hi) != at:
                     if held:
                         out += settle(at, held)
-                    at, held = (grp, lo, hi), {}
-                if (k, th) not in held:
-                    held[k, th] = (block, k, copies, ngram_set(t, n))
+                    at, held = (grp, lo, hi), []
+                held.append((block, node, copies, ngram_set(t, n)))
             if out:
                 yield told(out)
         if held and (out := settle(at, held)):
             yield told(out)
 
     def told(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["id", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "links", "root"])
 
     def settle(at, held):
-        held = [held[k] for k in sorted(held)]
         block, ids, copies = np.array([x[0] for x in held]), [x[1] for x in held], np.array([x[2] for x in held], np.int64)
         same = at[1] == at[2]
         left = np.arange(len(held)) if same else np.flatnonzero(block == at[1])
@@ -229,57 +226,98 @@ def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 forest.join(i, j)
         return [(ids[i], int(links[i]), ids[forest.root(i)]) for i in range(len(held)) if links[i]]
 
-    return rows.mapInArrow(run, "id long, links long, root long")
+    return rows.mapInArrow(run, "node long, links long, root long")
 
 
-def similarity_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 512) -> DataFrame:
-    """One row per document: key, ``class_id`` (long), ``rep_id`` (long), ``n_links`` (long).
+def grouped(docs: DataFrame, key: str, text: str, n: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """(id, th, rep_id, links, class_id, win_id, win_th) of each row, written.
 
-    ``class_id`` is the smallest id in the component of documents linked by a Jaccard
-    similarity of at least ``threshold`` between their word n-gram sets; ``rep_id`` the
-    smallest id of the documents with the very same set; ``n_links`` the number of
-    other documents it is linked to, copies included.
-
-    Defined results: documents with a null key are left out; texts without words
-    (null counts as empty) are linked to equal texts only; repeated rows count as
-    copies; texts that share an id share its class and links; an empty table gives an empty result; other columns are left out.
+    The last two name the row that stands for its group: the smallest id, then text hash.
     """
     bands, rows = choose_bands(threshold, recall)
     limit = Fraction(threshold).limit_denominator(1000)
     told = written(described(docs, key, text, bands, rows, n), "jaccard-sets")
-    classes = told.groupBy("set_hash").agg(F.min(F.struct("id", "th")).alias("r"), F.count(F.lit(1)).alias("copies"), F.max_by("keys", F.col("n_grams")).alias("keys"))
-    classes = written(classes.select("set_hash", F.col("r.id").alias("rep"), F.col("r.th").alias("rep_th"), "copies", "keys"), "jaccard-classes")
-
-    keys = classes.select("rep", F.explode("keys").alias("k"))
-    shared = keys.groupBy("k").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = keys.join(shared, "k").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    # A class is all rows of one n-gram set.  Its node number is made once, as the table is written,
+    # and is no part of any result.  Ids sort before a missing one.
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    classes = told.groupBy("set_hash").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("copies"), F.max_by("keys", F.col("n_grams")).alias("keys"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "copies", "keys"), "jaccard-classes")
+
+    keys = classes.select("node", F.explode("keys").alias("k"))
+    shared = written(keys.groupBy("k").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-shared")
+    met = shared.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()["n"]
+    stars = spread_join(keys, shared, "k", "m", met).where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = components(stars)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    member = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), F.col("rep_th").alias("th"), "copies"), "node")
+    sizes = written(groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "jaccard-sizes")
+    member = spread_join(groups, sizes, "root", "m", groups.count()).join(classes.select("node", "id", "th", "copies"), "node")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    member = member.select(F.col("node").alias("id"), "th", F.col("root").alias("grp"), "copies", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"))
+    member = member.select("node", "id", "th", F.col("root").alias("grp"), "copies", blocks.alias("nb"), F.pmod("th", blocks.cast("long")).cast("int").alias("block"))
 
-    wanted = known_texts(docs, key, text).join(member, ["id", "th"])
+    found = known_texts(docs, key, text)
+    same_row = found["id"].eqNullSafe(member["id"]) & (found["th"] == member["th"])
+    # A row that is there many times is one before its text is copied.
+    wanted = found.join(member, same_row).select(*member.drop("id", "th").columns, "t").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    pairs = wanted.select("*", other).select("grp", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "id", "th", "copies", "t")
-    pairs = pairs.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id", "th")
-    found = written(check_blocks(pairs, n, limit), "jaccard-links")
+    pairs = wanted.select("*", other).select("grp", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "nb", "block", "node", "copies", "t")
+    # The block pairs of a group are numbered and dealt round the tasks, so that no task gets many of them.
+    number = F.expr("CAST(lo AS LONG) * nb - CAST(lo AS LONG) * (lo - 1) div 2 + hi - lo")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.withColumn("task", F.pmod(F.xxhash64("grp") % tasks + number, F.lit(tasks)).cast("int"))
+    pairs = pairs.repartitionById(tasks, "task").drop("nb", "task").sortWithinPartitions("grp", "lo", "hi", "node")
+    linked_ = written(check_blocks(pairs, n, limit), "jaccard-links")
+
+    links = linked_.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(linked_.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = classes.select("node", "set_hash", "id", "th", "copies").join(links, "node", "left").join(joined, "node", "left")
+    known = written(known.withColumn("root", F.coalesce("root", "node")), "jaccard-linked")
+    best = known.groupBy("root").agg(F.min(row).alias("w"), F.count(F.lit(1)).alias("m")).select("root", F.col("w.id").alias("win_id"), F.col("w.th").alias("win_th"), "m")
+    final = spread_join(known, written(best, "jaccard-best"), "root", "m", known.count())
+    final = written(final.select("set_hash", F.col("id").alias("rep_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "win_id", "win_th"), "jaccard-final")
+    return written(spread_join(told.select("id", "th", "set_hash"), final, "set_hash", "copies", told.count()).drop("set_hash", "copies"), "jaccard-rows")
+
+
+def similarity_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256) -> DataFrame:
+    """One row per document: key, ``class_id`` (long), ``rep_id`` (long), ``n_links`` (long).
 
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.where(F.col("id") != F.col("root")).select(F.col("id").alias("a"), F.col("root").alias("b")))
-    final = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    final = final.select("set_hash", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("class_id"))
-    return told.select("id", "set_hash").join(final, "set_hash").select(F.col("id").alias(key), "class_id", F.col("rep").alias("rep_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    ``class_id`` is the smallest id in the component of documents linked by a Jaccard
+    similarity of at least ``threshold`` between their word n-gram sets; ``rep_id`` the
+    smallest id of the documents with the very same set; ``n_links`` the number of
+    other documents it is linked to, copies included.
+
+    Defined results: documents are told apart by key and text, so texts that share an
+    id, or have none, each have a class and links of their own; in a class without any
+    id both ids are null; texts without words (null counts as empty) are linked to equal
+    texts only; repeated rows count as copies; an empty table gives an empty result;
+    other columns are left out.
+    """
+    rows = grouped(docs, key, text, n, threshold, recall, block)
+    return rows.select(F.col("id").alias(key), F.col("win_id").alias("class_id"), "rep_id", F.col("links").alias("n_links"))
 
 
-def keep_first_of_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id.
+def keep_first_of_group(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256) -> DataFrame:
+    """One row of ``docs`` for each group of near or exact copies: that with the smallest id, then text hash.
 
-    Rows with a null key stay; rows repeated with the same id stay together.
+    Rows are told apart by key and text: another text under the same id is judged by
+    itself, and a text without an id goes only if its group has another row that
+    stays.  Of rows equal in both, one stays.
     """
-    groups = similarity_groups(docs, key, text, **options)
-    gone = groups.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_qw_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_qw_gone"], "left_anti")
+    rows = grouped(docs, key, text, n, threshold, recall, block)
+    stays = F.col("id").eqNullSafe(F.col("win_id")) & (F.col("th") == F.col("win_th"))
+    gone = rows.where(~stays).select(F.col("id").alias("_qw_id"), F.col("th").alias("_qw_th")).distinct()
+    often = rows.where(stays).groupBy(F.col("id").alias("_qw_id"), F.col("th").alias("_qw_th")).agg(F.count(F.lit(1)).alias("_qw_n")).where("_qw_n > 1").drop("_qw_n")
+    named = docs.withColumn("_qw_k", F.col(key).cast("long")).withColumn("_qw_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+    def same(other: DataFrame) -> Column:
+        return named["_qw_k"].eqNullSafe(other["_qw_id"]) & (named["_qw_t"] == other["_qw_th"])
+
+    kept = named.join(gone, same(gone), "left_anti")
+    often = written(often, "jaccard-repeated")
+    if often.isEmpty():
+        return kept.select(*docs.columns)
+    # Which of some rows that differ in other columns only is settled by those columns' hash.
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = kept.join(often, same(often), "left_semi").groupBy("_qw_k", "_qw_t").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias("_qw_row")).select("_qw_row.*")
+    return kept.join(often, same(often), "left_anti").select(*docs.columns).unionByName(one)
 
 
 def jaccard(a: str, b: str, n: int = 5) -> float:

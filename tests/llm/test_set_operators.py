@@ -2,16 +2,20 @@
 
 import hashlib
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from querywright.llm import interleave, jaccard, mixing, spaced, warc
+from querywright.llm.common import KeyRanges, spread_join
 from querywright.llm.components import components
 
 LONG = "lorem ipsum " * 20_000
@@ -56,6 +60,34 @@ def test_archives_round_trip(spark, tmp_path):
     assert listed == {n: hashlib.sha256(b).hexdigest() for n, b in files.items()}
 
 
+def test_archives_of_a_key_that_most_rows_share(spark, tmp_path):
+    rows = [(7 if i % 2 else None, "u", f"<p>{i // 4}</p>" * 40) for i in range(120)] + [(1, "u", "<p>1</p>" * 40), (9, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    root = f"file://{tmp_path}/hot"
+    manifest = warc.write_archives(df, root, shard_bytes=2000)
+    assert manifest.select("shard").distinct().count() > 8
+    got = warc.read_archives(spark, root).collect()
+    seen = Counter((r["page_id"], r["payload_digest"]) for r in got)
+    assert seen == Counter((k, hashlib.sha256((h or "").encode()).hexdigest()) for k, _, h in rows)
+    first = {}
+    for k, _, h in sorted(rows, key=lambda x: (x[0] is None, x[0])):
+        first.setdefault(hashlib.sha256((h or "").encode()).hexdigest(), k)
+    for r in got:
+        assert r["record_type"] == "response" or r["refers_to"] == first[r["payload_digest"]]
+    assert Counter(r["payload_digest"] for r in got if r["record_type"] == "response") == Counter(list(first))
+
+
+def test_key_ranges_cut_heavy_keys(spark):
+    rows = [(5, i * 7919 * 1000003 % (1 << 32), 10) for i in range(300)] + [(k, 0, 10) for k in range(-50, 50) if k != 5]
+    df = spark.createDataFrame(rows, "k long, s long, n long")
+    ranges = KeyRanges(df, "k", "n", 20)
+    got = df.withColumn("r", ranges.bucket(F.col("k"), F.col("s"))).collect()
+    held = Counter(r["r"] for r in got)
+    assert set(held) <= set(range(len(ranges))) and max(held.values()) <= 60
+    by = sorted((r["k"], r["s"], r["r"]) for r in got)
+    assert [x[2] for x in by] == sorted(x[2] for x in by)
+
+
 def test_archives_of_an_empty_table(spark, tmp_path):
     _, df = pages(spark)
     assert warc.round_trip(df.limit(0), f"file://{tmp_path}/none").count() == 0
@@ -103,6 +135,49 @@ def test_overlapping_sources_share_documents_at_least_cost():
     assert mixing.route({("a",): 100}, {"a": 900.0})[("a",), "a"] == pytest.approx(200)
 
 
+def least_cost(patterns, quotas, copies=2):
+    """(tokens sent, cost) of the best whole-number flow, by trying all of them."""
+    best = (0, 0)
+    links = [(p, s) for p in patterns for s in p if s in quotas]
+    tops = [range(min(copies * patterns[p], quotas[s]) + 1) for p, s in links]
+    for sent in itertools.product(*tops):
+        used, got = Counter(), Counter()
+        for (p, s), n in zip(links, sent, strict=True):
+            used[p] += n
+            got[s] += n
+        if all(n <= copies * patterns[p] for p, n in used.items()) and all(n <= quotas[s] for s, n in got.items()):
+            cost = sum(min(max(n - c * patterns[p], 0), patterns[p]) * (c + 1) ** 2 for p, n in used.items() for c in range(copies))
+            best = max(best, (sum(sent), -cost))
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=3, max_size=3), st.lists(st.integers(0, 6), min_size=2, max_size=2))
+def test_flow_costs_as_little_as_any(sizes, quotas):
+    patterns = dict(zip([("a",), ("a", "b"), ("b",)], sizes, strict=True))
+    flow = mixing.route(patterns, {"a": float(quotas[0]), "b": float(quotas[1])})
+    used = {p: sum(f for (q, _), f in flow.items() if q == p) for p in patterns}
+    cost = sum(min(max(n - c * patterns[p], 0), patterns[p]) * (c + 1) ** 2 for p, n in used.items() for c in range(2))
+    assert (sum(used.values()), -cost) == pytest.approx(least_cost(patterns, dict(zip("ab", quotas, strict=True))))
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(12)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randint(1, 4)))): rng.randint(1, 50) for _ in range(3000)}
+    total = sum(patterns.values())
+    flow = mixing.route(patterns, {s: total / 12 for s in names})
+    assert sum(flow.values()) == pytest.approx(total, rel=0.01)
+    with_lots = {s: total for s in names}
+    assert sum(mixing.route(patterns, with_lots).values()) == pytest.approx(2 * total)
+
+
+def test_too_many_patterns_are_refused(spark):
+    df = spark.createDataFrame([(i, [f"s{i}"], 1) for i in range(5)], "doc_id long, members array<string>, n long")
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix_by_membership(df, "members", "n", {f"s{i}": 1.0 for i in range(5)}, most_patterns=3)
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, [["a"], ["a", "b"], ["b"], ["b", "a", "a"], None, [None], ["c"]][i % 7], 10) for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, members array<string>, n long")
@@ -163,12 +238,13 @@ def near_docs(spark):
 
 
 def brute_groups(rows, threshold=0.8):
+    """(id, class id, links) of each row by comparing all pairs of rows; ids sort before none, then texts by hash."""
     sets = []
     for _, t in rows:
         w = jaccard.WORDS((t or "").lower())
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset([("raw", t or "")]))
     forest, links = jaccard.Forest(len(rows)), Counter()
-    place = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    place = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     for a in range(len(place)):
         for b in range(a + 1, len(place)):
             i, j = place[a], place[b]
@@ -176,25 +252,60 @@ def brute_groups(rows, threshold=0.8):
                 links[i] += 1
                 links[j] += 1
                 forest.join(a, b)
-    return sorted((rows[i][0], rows[place[forest.root(a)]][0], links[i]) for a, i in enumerate(place))
+    return Counter((rows[i][0], rows[place[forest.root(a)]][0], links[i]) for a, i in enumerate(place))
 
 
 @pytest.mark.parametrize("block", [512, 3])
 def test_groups_and_links_equal_brute_force(spark, block):
     rows = near_docs(spark)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash"))
-    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.similarity_groups(df, block=block).collect())
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.similarity_groups(df, block=block).collect())
     assert got == brute_groups(rows)
     kept = jaccard.keep_first_of_group(df)
-    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted({c for _, c, _ in got}) and kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in got}) and kept.columns == df.columns
+
+
+def test_texts_that_share_an_id_or_have_none(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(rng.choices([f"w{i}" for i in range(900)], k=60)) for _ in range(5))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (None, c), (None, c + " more"), (None, a), (9, d), (9, d), (9, e), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("note", F.lit(1))
+    got = jaccard.similarity_groups(df).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_groups(rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_first_of_group(df).collect())
+    lone = [x for x in kept if x[0] is None]
+    assert kept - Counter(lone) == Counter([(1, a), (5, b), (9, d), (9, e), (9, None)])
+    assert len(lone) == kept[lone[0]] == 1 and lone[0][1] in (c, c + " more")
+
+
+@pytest.mark.parametrize("least", [0, 10_000])
+def test_spread_joins_equal_plain_ones(spark, least):
+    rows = spark.createDataFrame([(i, None if i % 50 == 49 else i % 7 if i % 3 else 0) for i in range(400)], "x long, k long")
+    table = rows.where("k < 6").groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    got = spread_join(rows, table, "k", "m", 400, most_hot=3, least=least)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "k").select(*got.columns).collect()))
 
 
 def test_groups_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard.similarity_groups(spark.createDataFrame([], schema)).count() == 0
+    assert jaccard.keep_first_of_group(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")], schema)
-    assert [tuple(r) for r in jaccard.similarity_groups(df).collect()] == [(1, 1, 1, 0)]
-    assert jaccard.keep_first_of_group(df).count() == 3
+    assert sorted((tuple(r) for r in jaccard.similarity_groups(df).collect()), key=str) == [(1, 1, 1, 2), (None, 1, 1, 2), (None, 1, 1, 2)]
+    assert [r["doc_id"] for r in jaccard.keep_first_of_group(df).collect()] == [1]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_bands_find_pairs_of_measured_similarity(similarity):
+    # Sets that share just enough: a candidate pair needs one equal band key.
+    rng = np.random.default_rng(5)
+    signer, found, size = jaccard.Signer(*jaccard.choose_bands(0.8, 0.9995)), 0, 90
+    both = math.ceil(2 * size * similarity / (1 + similarity))
+    for _ in range(400):
+        grams = rng.integers(0, 1 << 63, 2 * size - both, np.uint64)
+        a, b = np.sort(grams[:size]), np.sort(grams[size - both :])
+        found += bool(set(signer.keys(a)) & set(signer.keys(b)))
+    assert found >= 398
 
 
 def test_bands_reach_the_recall():
@@ -217,6 +328,7 @@ def test_components_of_wide_paths(spark, path):
 
 
 def brute_overlaps(docs, items, window=13, least=11):
+    """Every item laid over every document at every place; no seeds."""
     import regex
 
     split = regex.compile(spaced.TOKEN).findall
@@ -226,18 +338,12 @@ def brute_overlaps(docs, items, window=13, least=11):
         for i, u in items:
             b = split((u or "").lower())
             w = min(window, len(b))
-            seeds = {(n, tuple(b[p + o] for o in m)): p for n, m in enumerate(spaced.MASKS) for p in range(len(b) - m[-1])}
             best = 0
-            for shift in range(-len(b), len(a)):
-                pairs = [(x, x - shift) for x in range(max(0, shift), min(len(a), shift + len(b)))]
-                if len(pairs) < w or not w:
-                    continue
-                hit = any(seeds.get((n, tuple(a[x + o] for o in m))) is not None and all(a[x + o] == b[y + o] for o in m) for n, m in enumerate(spaced.MASKS) for x, y in pairs if x + m[-1] < len(a) and y + m[-1] < len(b))
-                if hit:
-                    same = [a[x] == b[y] for x, y in pairs]
-                    best = max([best, *(sum(same[k : k + w]) for k in range(len(same) - w + 1))])
+            for shift in range(w - len(b), len(a) - w + 1):
+                same = [a[x] == b[x - shift] for x in range(max(0, shift), min(len(a), shift + len(b)))]
+                best = max([best, *(sum(same[k : k + w]) for k in range(len(same) - w + 1))])
             if best * window >= w * least and best:
-                out[d, i] = (best, w)
+                out[d, i] = max(out.get((d, i), (0, 0)), (best, w))
     return out
 
 
@@ -269,7 +375,7 @@ def test_overlaps_equal_brute_force(spark, bound):
     assert len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
     assert all("Python" not in line for line in spaced.overlaps(d, b)._jdf.queryExecution().toString().splitlines())
     kept = spaced.drop_contaminated(d, b)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {x for x, _ in docs} - {r["doc_id"] for r in got if r["doc_id"] is not None}
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {x for x, _ in docs} - {r["doc_id"] for r in got}
 
 
 @pytest.mark.parametrize("bound", [spaced.MOST_BROADCAST, 0])
@@ -286,6 +392,18 @@ def test_overlaps_reach_the_whole_tolerance(spark, bound):
     assert {(r["doc_id"], r["item_id"], r["matched"]) for r in got} == {(x, n, m) for x, n, m, _ in docs}
 
 
+@pytest.mark.parametrize("bound", [spaced.MOST_BROADCAST, 0])
+def test_leaks_of_rows_that_share_a_key_or_have_none(spark, bound):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = [(1, "a clean text"), (1, "x " + item), (1, item[:30]), (None, "y " + item), (None, "another clean text"), (2, item), (2, item), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (1, "z " + item[:60]), (None, item)], "item_id long, text string")
+    got = spaced.overlaps(d, b, most_broadcast=bound).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in got} == {(x, y, 13) for x in (1, 2, None) for y in (1, None)} and len(got) == 6
+    kept = spaced.drop_contaminated(d, b, most_broadcast=bound)
+    assert Counter(map(tuple, kept.collect())) == Counter([docs[0], docs[2], docs[4], docs[7]])
+
+
 def test_overlaps_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
@@ -316,6 +434,26 @@ def test_shards_match_the_mixture(spark, shards):
     assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in again)
 
 
+@pytest.mark.parametrize("most_closed", [20_000_000, 0])
+def test_shards_equal_a_plain_sort(spark, most_closed):
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["hot"] * 4 + ["b", "c", None])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    ranked = defaultdict(list)
+    for i, s in rows:
+        ranked[s].append((hashlib.md5(f"10:{i}".encode()).hexdigest(), i))
+    at = []
+    for s, held in ranked.items():
+        at += [(Fraction(2 * r + 1, 2 * len(held)), "n" if s is None else "v" + s, i) for r, (_, i) in enumerate(sorted(held))]
+    want, slots = {}, Counter()
+    for place, (_, _, i) in enumerate(sorted(at)):
+        shard = place * 9 // len(at)
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+    got = interleave.interleave(df, 9, most_closed=most_closed).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
+
+
 def test_shards_of_few_rows(spark):
     schema = "doc_id long, source string, text string"
     assert interleave.interleave(spark.createDataFrame([], schema), 40).count() == 0

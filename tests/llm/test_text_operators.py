@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from xml.etree import ElementTree
 
@@ -303,7 +304,7 @@ def brute_probability(model, word, lang):
         if i == len(word):
             return 1.0
         found = 0.0
-        for j in range(i + 1, min(len(word), i + langid.LONGEST_PIECE) + 1):
+        for j in range(i + 1, min(len(word), i + model.longest) + 1):
             row = model.index.get(word[i:j], int(j == i + 1))
             found += model.prob[row, lang] * total(j)
         return found
@@ -326,6 +327,48 @@ def test_forward_sums_all_segmentations(model, word):
         assert got[lang] == pytest.approx(math.log(brute_probability(model, marked, lang)), rel=1e-9)
 
 
+def segmentations(word, longest):
+    if not word:
+        yield ()
+    for j in range(1, min(len(word), longest) + 1):
+        for rest in segmentations(word[j:], longest):
+            yield (word[:j], *rest)
+
+
+@pytest.mark.parametrize("scaled_from", [40, 2])
+def test_expected_counts_equal_all_segmentations(model, monkeypatch, scaled_from):
+    monkeypatch.setattr(langid, "SCALED_FROM", scaled_from)
+    words = [langid.MARK + w for w in ("the", "then", "die", "日本", "thee", "zz")]
+    counts = np.array([[3, 1], [2, 0], [0, 4], [1, 1], [0, 2], [5, 0]], float)
+    want = np.zeros_like(model.prob)
+    for word, weight in zip(words, counts, strict=True):
+        ways = []
+        for cut in segmentations(word, model.longest):
+            rows = [model.index.get(piece, int(len(piece) == 1)) for piece in cut]
+            if all(rows):
+                ways.append((rows, model.prob[rows].prod(axis=0)))
+        total = sum(p for _, p in ways)
+        for rows, p in ways:
+            np.add.at(want, rows, p / total * weight)
+    assert np.allclose(langid.expected_counts(model, words, counts), want)
+
+
+def test_training_uses_words_of_any_length():
+    pieces = langid.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    long = ["qq" * 300, "zz" * 300]
+    model = langid.fit(["the", "die", *long], np.array([[1, 0], [0, 1], [1, 0], [0, 1]], float), ["en", "de"], np.array([0.5, 0.5]), pieces)
+    names, scores = model.predict(["qqq", "zzz", "the", "die"])
+    assert names == ["en", "de", "en", "de"] and min(scores) > 0.9
+
+
+def test_posterior_equals_bayes_rule(model):
+    text = "the zz die the 12"
+    joint = model.prior * [math.prod(brute_probability(model, langid.MARK + w, k) for w in ("the", "zz", "die", "the")) for k in (0, 1)]
+    names, scores = model.predict([text, text * 1, "", "die die"])
+    assert scores[0] == pytest.approx(max(joint) / sum(joint)) and names[0] == ["en", "de"][int(np.argmax(joint))]
+    assert (names[1], scores[1]) == (names[0], scores[0]) and (names[2], scores[2]) == ("und", 0.0) and names[3] == "de"
+
+
 def test_forward_of_long_words_is_rescaled(model):
     word = langid.MARK + "the" * 400
     got = model.forward([word])[0]
@@ -381,6 +424,27 @@ def test_ordinal_thresholds_stay_in_order_and_share_weights():
     assert ((edges[:, :-1] - edges[:, 1:]).argmax(axis=1) == grades).mean() > 0.9
 
 
+def test_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(300)]
+    grades = np.array([min(2, (0 in r) + (1 in r) * int(rng.random() < 0.8) + int(rng.random() < 0.1)) for r in rows])
+    ridge = 1e-2
+    w, cuts = ordinal.fit(rows, grades, 6, 3, rounds=1500, ridge=ridge)
+    least = ordinal.penalised_loss(w, cuts, rows, grades, ridge)
+    # Likelihoods one by one, by the definition.
+    slow = ridge / 2 * sum(x * x for x in w)
+    for r, g in zip(rows, grades, strict=True):
+        up = [1.0, *(1 / (1 + math.exp(-(sum(w[i] for i in r) - c))) for c in cuts), 0.0]
+        slow -= math.log(up[g] - up[g + 1]) / len(rows)
+    assert least == pytest.approx(slow)
+    # No step in any direction gets lower, and slopes by differences vanish.
+    for k in range(8):
+        step = np.zeros(8)
+        step[k] = 1e-3
+        up, down = (ordinal.penalised_loss(w + s * step[:6], cuts + s * step[6:], rows, grades, ridge) for s in (1, -1))
+        assert abs(up - down) / 2e-3 < 2e-3 and min(up, down) > least - 1e-6
+
+
 def test_toxicity_on_unseen_rows(spark):
     rng = random.Random(3)
     plain = [f"word{i}" for i in range(300)]
@@ -403,6 +467,7 @@ def test_toxicity_on_unseen_rows(spark):
     assert told[1003]["p_toxic"] > 0.5 and told[1000]["p_toxic"] < 0.5 and told[1002]["p_toxic"] < 0.5
     assert all(0 <= r["expected_severity"] <= 2 and r["expected_severity"] >= r["p_toxic"] - 1e-9 for r in got)
     assert ordinal.train(docs.drop("grade"), grades.where("grade = 0")) is None
+    assert ordinal.train(docs.drop("grade").limit(0), grades) is None and docs.limit(0).select(ordinal.severity(spark, F.col("text"), model)).count() == 0
     assert docs.drop("grade").limit(1).select(ordinal.severity(spark, F.col("text"), None).alias("s")).first()["s"]["p_toxic"] is None
 
 
@@ -424,6 +489,25 @@ def test_gear_hash_and_chunks(data):
     assert all(cdc.LEAST <= s <= cdc.MOST for s in sizes[:-1]) and all(0 < s <= cdc.MOST for s in sizes)
 
 
+def slow_cuts(data):
+    """Byte by byte: a cut at a laxer or stricter zero of the gear hash, or at the longest chunk."""
+    ends, start, h = [], 0, 0
+    for at, b in enumerate(data, start=1):
+        h = ((h << 1) + int(cdc.GEAR[b])) & 0xFFFFFFFF
+        size = at - start
+        mask = int(cdc.STRICT) if size < cdc.WISHED else int(cdc.LAX)
+        if size == cdc.MOST or (size >= cdc.LEAST and h & mask == 0):
+            ends.append(at)
+            start = at
+    return ends + ([len(data)] if start < len(data) else [])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.binary(max_size=3000), st.text(alphabet="ab ", max_size=2000).map(str.encode)))
+def test_cut_points_equal_a_slow_scan(data):
+    assert cdc.cut_points(data) == slow_cuts(data)
+
+
 def test_chunks_resist_shifts():
     text = " ".join(f"token{(i * 7919) % 1009}" for i in range(600))
     a, b = cdc.chunk_set(text), cdc.chunk_set("inserted words here " + text)
@@ -448,9 +532,18 @@ def test_fingerprints_of_neighbours(spark, per_range):
         assert got[i]["n_chars"] == len(own)
         assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert got[i]["fingerprint"] == cdc.encode(cdc.chunk_set(own)) and got[i]["edited_fingerprint"] == cdc.encode(cdc.chunk_set(changed))
+        assert got[i]["near_edited"] == pytest.approx(cdc.containment(cdc.chunk_set(own), cdc.chunk_set(changed)))
         assert got[i]["near_next"] == pytest.approx(cdc.containment(cdc.chunk_set(own), cdc.chunk_set(after)))
     assert got[1003]["fingerprint"] == got[12]["fingerprint"]
     repeated = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "z")], "doc_id long, text string")
     assert cdc.fingerprint_with_neighbours(repeated).count() == 3
+    # A key of many rows is cut into ranges of its own, in the order of the texts' hashes.
+    hot = [(7 if i % 3 else None, "".join(rng.choices("abcdefg hij", k=rng.randint(30, 90)))) for i in range(150)] + [(9, "last of all"), (2, "x")]
+    hot_df = spark.createDataFrame(hot, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in hot_df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(hot, key=lambda x: (-(1 << 63) if x[0] is None else x[0], hashes[x[1]]), reverse=True)
+    want = Counter((k, cdc.encode(cdc.chunk_set(t)), round(cdc.containment(cdc.chunk_set(t), cdc.chunk_set(order[(i + 1) % len(order)][1])), 9)) for i, (k, t) in enumerate(order))
+    out = cdc.fingerprint_with_neighbours(hot_df, bytes_per_range=per_range)
+    assert Counter((r["doc_id"], r["fingerprint"], round(r["near_next"], 9)) for r in out.collect()) == want
     assert cdc.fingerprint_with_neighbours(df.limit(0)).count() == 0
     assert cdc.fingerprint_with_neighbours(df.where("doc_id = 0")).first()["near_next"] == 1.0
