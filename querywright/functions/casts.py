@@ -19,7 +19,8 @@ _FLOAT_PREFIX = re.compile(r"\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)")
 def signed(x: Column, category: str) -> Column:
     """A long: text by its leading digits (0 if it has none), numbers rounded, dates as digits."""
     if category == NUMERIC:
-        return F.round(x.cast("double"), 0).try_cast("bigint")
+        # Through a decimal that holds every long exactly and 18 places of a fraction.
+        return F.round(x.try_cast("decimal(38,18)"), 0).try_cast("bigint")
     if category == DATE:
         return F.date_format(x, "yyyyMMdd").try_cast("bigint")
     text = x.cast("string")
@@ -86,11 +87,31 @@ def int_prefix(value: Any) -> int:
 
 def float_prefix(value: Any) -> float:
     if isinstance(value, bool | int | float):
-        return float(value)
+        try:
+            return float(value)
+        except OverflowError:
+            return math.copysign(math.inf, value)
     m = _FLOAT_PREFIX.match(str(value))
     return float(m[1]) if m else 0.0
 
 
+def whole_or(value: Any, default: int) -> int:
+    """A setting read as a whole number; ``default`` for what is none."""
+    if isinstance(value, bool) or value is None or not isinstance(value, int | float | str):
+        return default
+    return int_prefix(value) if isinstance(value, str) and _INT_PREFIX.match(value) or isinstance(value, int | float) else default
+
+
+def whole(value: Any) -> Column:
+    """A literal whole number of any size: a long, a decimal beyond 64 bits, a double beyond 38 digits."""
+    n = int_prefix(value)
+    if -(1 << 63) <= n < 1 << 63:
+        return F.lit(n)
+    if abs(n) < 10**38:
+        return F.lit(str(n)).cast("decimal(38,0)")
+    return F.lit(float_prefix(str(n)))
+
+
 def text_of(value: Any) -> str:
     """A literal as text: true is '1', false is empty, whole floats lose their point."""
     if isinstance(value, bool):
@@ -109,7 +130,7 @@ def literal(value: Any, kind: str, category: str = STRING) -> Column:
     (null if it is none), text beside a number as a number.
     """
     if kind == INTEGER_LITERAL:
-        return F.lit(int_prefix(value))
+        return whole(value)
     if kind == FLOAT_LITERAL:
         return F.lit(float_prefix(value))
     if category == DATE:

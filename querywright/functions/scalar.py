@@ -146,7 +146,8 @@ def _clocked(fn: Callable[[Column], Column]):
 def _shifted(sign: int):
     def build(args, now):
         ts, span = timestamp(*args[0]), args[1][0]
-        return ts + span if sign > 0 else ts - span
+        # Null where the sum is no date.
+        return F.try_add(ts, span) if sign > 0 else F.try_subtract(ts, span)
 
     return build
 
@@ -195,5 +196,4 @@ def week_by_mode(ts: Column, mode: int) -> Column:
 
 def concat_ws(args: list[Column]) -> Column:
     """Joined by the first argument; null arguments are skipped, a null separator gives null."""
-    joined = F.array_join(F.array_compact(F.array(*args[1:])), "\x00")
-    return F.when(args[0].isNull(), None).otherwise(F.replace(joined, F.lit("\x00"), args[0]))
+    return F.call_function("concat_ws", *args)

@@ -77,6 +77,7 @@ class ColumnSpec:
     current_timestamp: bool = False
     aliases: tuple[str, ...] = ()
     caps: tuple[tuple[str, str], ...] = ()
+    json: str = ""  # the Spark type that queries decode a json column to
     cast: Callable | None = None
     validate: Callable | None = None
     intercept: Callable | None = None

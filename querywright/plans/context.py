@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from querywright.functions.casts import cast_to, literal
@@ -67,6 +69,8 @@ class Context:
     def compare(self, left: Column, category: str, kind: str, op: Comparison, value: Any, binary: bool = False) -> Column | None:
         """A left expression against bare values; None if the value says nothing."""
         fold = self.options.fold and category == STRING and not binary
+        if op.pattern:
+            check_pattern(value)
         x = F.lower(left) if fold and not op.pattern else left
 
         def lit(v: Any) -> Column:
@@ -76,6 +80,17 @@ class Context:
         return op.apply(x, value, lit, fold)
 
 
+def check_pattern(value: Any) -> None:
+    """Refuse a pattern that the JVM's regular expressions cannot read: it would fail in every task."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not isinstance(value, str | int | float):
+        return
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(str(value).strip())
+    except (IllegalArgumentException, Py4JJavaError) as error:
+        raise Refused(f"not a pattern: {value!r}") from error
+
+
 def requested_cast(column: ColumnSpec, request: Any) -> str | None:
     """The cast target a clause asks for, None for none; a bad one is refused."""
     if request in (None, False, ""):

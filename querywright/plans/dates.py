@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querywright.functions.casts import float_prefix, timestamp
+from querywright.functions.casts import float_prefix, timestamp, whole_or
 from querywright.functions.scalar import start_of_week
 from querywright.operators.comparison import all_of
 from querywright.operators.logic import connective
@@ -98,6 +98,39 @@ def numbers(value: Any, many: bool) -> list[int]:
     return kept if many else kept[:1]
 
 
+#: The values that parts of a date can have.
+RANGES = {"year": (0, 9999), "month": (1, 12), "monthnum": (1, 12), "week": (0, 53), "w": (0, 53), "dayofyear": (1, 366), "day": (1, 31), "dayofweek": (1, 7), "dayofweek_iso": (1, 7), "hour": (0, 23), "minute": (0, 59), "second": (0, 59)}
+
+
+def part_errors(clause: Mapping[str, Any]) -> list[str]:
+    """What no date can be: parts out of range or no numbers, and a day that its month (of its year) lacks.
+
+    The week and day of a given year are held against that year's own.
+    """
+    found = []
+    for side in ("after", "before"):
+        if isinstance(clause.get(side), Mapping):
+            found += [f"{side}: {e}" for e in part_errors(clause[side])]
+    years = numbers(clause.get("year"), False)
+    year = years[0] if years and 1 <= years[0] <= 9999 else None
+    for part, (least, most) in RANGES.items():
+        given = clause.get(part)
+        if given is None:
+            continue
+        if year and part == "dayofyear":
+            most = 366 if calendar.isleap(year) else 365
+        if year and part in ("week", "w"):
+            most = date(year, 12, 28).isocalendar().week
+        values = list(given) if isinstance(given, list | tuple) else [given]
+        told = numbers(values, True)
+        if len(told) < len(values) or any(not least <= n <= most for n in told):
+            found.append(f"{part}: {given!r}")
+    day, month = numbers(clause.get("day"), False), numbers(clause.get("month", clause.get("monthnum")), False)
+    if not found and day and month and day[0] > calendar.monthrange(year or 2012, month[0])[1]:
+        found.append(f"day: {month[0]}-{day[0]}")
+    return found
+
+
 def part_columns(ts: Column, start: int) -> dict[str, Column]:
     weeks = start_of_week(ts, start)
     return {
@@ -152,6 +185,8 @@ def date_clause(ctx: Context, clause: Mapping[str, Any], default: str | None) ->
         ctx.warn("date", f"{name!r} cannot be date-queried")
         return never()
     ts = timestamp(ctx.expression(column), column.category)
+    for error in part_errors(clause):
+        ctx.warn("date", f"{error} is in no date")
     ops = ctx.options.comparisons
     now, found = ctx.options.now, []
     closed = bool(clause.get("inclusive"))
@@ -174,7 +209,7 @@ def date_clause(ctx: Context, clause: Mapping[str, Any], default: str | None) ->
     op = ops.named_or_equal(clause.get("compare") or default_op)
     if not op.unary and "value" not in clause:
         many = op.many or op.ranged
-        start = int(clause.get("start_of_week", ctx.options.start_of_week))
+        start = whole_or(clause.get("start_of_week"), ctx.options.start_of_week) % 7
         columns = part_columns(ts, start)
         for part in PARTS:
             if part in ("hour", "minute", "second") or clause.get(part) is None or (part == "monthnum" and clause.get("month") is not None) or (part == "w" and clause.get("week") is not None):

@@ -190,7 +190,10 @@ def _interval(ctx: Context, spec: Mapping) -> Operand:
     unit, amount = spec.get("unit"), spec.get("amount")
     if not isinstance(unit, str) or unit.upper() not in UNITS or isinstance(amount, bool) or not isinstance(amount, int):
         raise Refused("an interval needs a unit and a whole amount")
-    return Operand("interval", F.make_interval(**{UNITS[unit.upper()]: F.lit(amount)}))
+    if not -(1 << 31) < amount < 1 << 31:
+        # No date is that far from another: whatever it is added to becomes null.
+        return Operand("interval", F.lit(None).cast("interval"))
+    return Operand("interval", F.try_make_interval(**{UNITS[unit.upper()]: F.lit(amount)}))
 
 
 _BUILDERS = {

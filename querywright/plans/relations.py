@@ -260,18 +260,21 @@ def related(ctx: Context, df: DataFrame, name: str) -> DataFrame:
     return links.join(rows, [F.col(n) == rows[r] for n, r in zip(names, relation.references, strict=True)]).drop(*names)
 
 
-def prefetch(ctx: Context, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+def prefetch(ctx: Context, df: DataFrame, name: str, most: int | None = None, shown: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """``df`` with the related rows of each row as an array of structs in a column named like the relation.
 
     Remote rows are gathered by key before the join; ``most`` bounds how many a row
-    takes (the smallest by primary key), which matters where one key has very many.
+    takes (the smallest by primary key).  Without it a row holds all of its relations,
+    so where one key may have more than a row can hold, ask for ``most`` or read
+    ``related``, which gives them as rows.  ``shown`` leaves out remote columns that may
+    not be read.
     """
     relation = ctx.table.relation(name)
     keys = list(dict.fromkeys((*ctx.table.primary, *relation.columns)))
     pairs = related(ctx, df.select(*keys).distinct(), name)
     base = [f"_base_{k}" for k in keys]
     remote = [c for c in pairs.columns if c not in base]
-    item = F.struct(*remote)
+    item = F.struct(*(shown(pairs.select(*remote), relation.table).columns if shown else remote))
     if most is None:
         gathered = pairs.groupBy(*base).agg(F.sort_array(F.collect_list(item)).alias(name))
     else:
@@ -285,10 +288,10 @@ def prefetch(ctx: Context, df: DataFrame, name: str, most: int | None = None) ->
     return df.join(gathered, same, "left").drop(*base).withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
 
 
-def integrity(ctx: Context, name: str) -> DataFrame:
+def integrity(ctx: Context, name: str, rows: DataFrame | None = None) -> DataFrame:
     """Rows whose foreign key refers to nothing; a null key refers to nothing by right and is left out."""
     relation = ctx.table.relation(name)
-    df = ctx.catalog.frame(ctx.table.name)
+    df = ctx.catalog.frame(ctx.table.name) if rows is None else rows
     for c in relation.columns:
         df = df.where(F.col(c).isNotNull())
     remote = ctx.catalog.frame(relation.table)

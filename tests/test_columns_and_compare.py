@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from querywright.model.presets import created, identifier, modified, uuid
 from querywright.model.schema import ColumnSpec, TableSpec
@@ -13,6 +14,8 @@ from querywright.plans.query import Query
 from querywright.sources.catalog import Catalog
 from tests.conftest import NOW, names
 
+C = ColumnSpec
+
 WIDGETS = TableSpec(
     "widget",
     (
@@ -310,5 +313,103 @@ def test_hooks_and_cache(spark, widgets):
     assert "Filter" in widgets.explain({"status": "active"})
 
 
+def test_hooks_around_filters_and_found_rows(spark, widgets):
+    from querywright.plans.pred import Expr
+    from querywright.plans.query import Hooks
+
+    hooks = Hooks(before_filter={"by": [lambda s: {**s, "status": "active"}]}, after_filter={"search": [lambda p: Expr(F.col("id") > 1)]})
+    hooks.found.append(lambda df: df.where("id = 0"))
+    q = Query(widgets.catalog, "widget", Options(now=NOW), hooks)
+    assert [r["id"] for r in q.query({"status": "nothing", "orderby": "id", "order": "ASC"}).collect()] == [2]
+    page = q.page({"number": 10})
+    assert len(page.rows) == 1 and page.found == 0
+
+
+def test_caches_by_query_by_id_and_by_value(spark, widgets):
+    from dataclasses import replace
+
+    spec = widgets.catalog.tables["widget"]
+    catalog = Catalog(spark).add(spec.with_columns(replace(spec.column("name"), cache_key=True)), widgets.catalog.frame("widget"))
+    q = Query(catalog, "widget", Options(now=NOW), cache_size=8)
+    first = q.item(2)
+    assert q.item(2) == first and catalog.cache.hits == 1 and q.item(99) is None
+    assert q.item_by("name", first["name"]) == first and catalog.cache.hits == 2
+    assert q.item_by("name", first["name"]) == first and catalog.cache.hits == 4
+    # Another query object shares the cache, one that may not read a column does not.
+    assert Query(catalog, "widget", Options(now=NOW), cache_size=8).item(2) == first and catalog.cache.hits == 5
+    assert "name" not in Query(catalog, "widget", Options(now=NOW), denied=frozenset({"name"}), cache_size=8).item(2)
+    rows, hits = q.collect({"status": "active"}), catalog.cache.hits
+    assert q.collect({"status": "active"}) == rows and catalog.cache.hits == hits + 1
+    assert q.collect({"status": "active", "cache_results": False}) == rows and catalog.cache.hits == hits + 1
+    catalog.changed()
+    assert q.collect({"status": "active"}) == rows and catalog.cache.hits == hits + 1
+    assert len(catalog.cache.held) <= 8
+
+
+def test_writes_anywhere_make_cached_results_unreachable(spark, tmp_path):
+    from querywright.writes.store import ParquetStore
+
+    spec = TableSpec("kept", (C("id", "bigint", primary=True), C("v", "varchar", 10)))
+    store = ParquetStore(spark, str(tmp_path / "kept"))
+    store.replace(spark.createDataFrame([(1, "a")], spec.struct()))
+    q = Query(Catalog(spark).add_stored(spec, store), "kept", cache_size=4)
+    assert [tuple(r) for r in q.collect({})] == [(1, "a")]
+    # Another process has a store of its own over the same folder.
+    ParquetStore(spark, str(tmp_path / "kept")).append(spark.createDataFrame([(2, "b")], spec.struct()))
+    assert sorted(tuple(r) for r in q.collect({})) == [(1, "a"), (2, "b")] and q.item(2)["v"] == "b"
+
+
+@pytest.mark.parametrize("denied", ["name", "id", "priority"])
+def test_denied_columns_are_shown_in_no_way(widgets, denied):
+    q = Query(widgets.catalog, "widget", Options(now=NOW), denied=frozenset({denied}))
+    shown = [
+        q.query({"number": 0}), q.query({"fields": [denied, "status"]}), q.query({"fields": "ids"}), q.get_item(1), q.get_item_by("status", "active"),
+        q.query({"aggregate": {"top": ["max", denied], "n": ["count", "*"]}}), q.query({"aggregate": {"n": ["count", "*"]}, "groupby": denied}),
+        q.query({"count": True, "groupby": denied}), q.query({"orderby": denied}), q.query({"distinct": True}), q.select_primary_keys({"status": "active"}),
+    ]
+    for df in shown:
+        assert denied not in df.columns and "top" not in df.columns
+    assert shown[0].count() == 5 and shown[6].columns == ["n"] and shown[6].first()["n"] == 5
+    # Filters may name it still.
+    assert q.query({denied: q.catalog.frame("widget").first()[denied], "number": 0}).count() >= 1
+
+
+def test_what_cannot_be_read_never_fails_a_job(widgets):
+    def ids(spec):
+        return sorted(r["id"] for r in widgets.query({"number": 0, **spec}).collect())
+
+    everything = ids({})
+    for op in ("REGEXP", "RLIKE", "NOT REGEXP"):
+        assert ids({"compare_query": {"key": "name", "compare": op, "value": "["}}) == []
+    big = str(10**30)
+    assert ids({"id": big}) == [] and ids({"id__in": [big, 1]}) == [1] and ids({"id__not_in": [int(big), 10**50]}) == everything
+    assert ids({"compare_query": {"key": "priority", "compare": "<", "value": 10**400}}) == [1, 2, 3, 4]
+    assert len(ids({"number": "abc"})) == len(everything) and len(widgets.query({"number": "2x"}).collect()) == 2
+    assert widgets.query({"number": 1, "offset": "z"}).count() == 1 and widgets.query({"number": 10**12}).count() == len(everything)
+    assert ids({"date_query": {"week": 99, "start_of_week": "x"}}) == []
+    far = {"operand": "func", "name": "DATE_ADD", "args": [{"operand": "column", "name": "date_created"}, {"operand": "interval", "amount": 10**9, "unit": "YEAR"}]}
+    assert ids({"compare_query": {"key": far, "compare": ">", "value": "2000-01-01"}}) == []
+    far["args"][1]["amount"] = 10**12
+    assert ids({"compare_query": {"key": far, "compare": ">", "value": "2000-01-01"}}) == []
+
+
+def test_parts_that_no_date_has_are_told():
+    from querywright.plans.dates import part_errors
+
+    assert part_errors({"month": 13, "hour": [1, 24], "minute": "x", "year": 2024, "dayofyear": 366, "day": 3}) == ["month: 13", "hour: [1, 24]", "minute: 'x'"]
+    assert part_errors({"year": 2023, "dayofyear": 366, "week": 53}) == ["week: 53", "dayofyear: 366"] and part_errors({"year": 2020, "week": 53}) == []
+    assert part_errors({"month": 2, "day": 30}) == ["day: 2-30"] and part_errors({"month": 2, "day": 29}) == [] and part_errors({"year": 2023, "month": 2, "day": 29}) == ["day: 2-29"]
+    assert part_errors({"after": {"month": 0}, "before": "1996"}) == ["after: month: 0"]
+
+
+def test_json_columns_are_decoded(spark):
+    spec = TableSpec("j", (C("id", "bigint", primary=True), C("a", "json", json="struct<k: bigint>"), C("b", "json")))
+    rows = spark.createDataFrame([(1, '{"k": 3}', '{"x": [1, 2]}'), (2, "nonsense", "nonsense"), (3, None, None)], "id long, a string, b string")
+    q = Query(Catalog(spark).add(spec, rows), "j")
+    assert [r["a"]["k"] for r in q.query({"orderby": "none"}).collect()] == [3, None, None]
+    assert [r["b"] for r in q.collect({"orderby": "none"})] == [{"x": [1, 2]}, [], None]
+    assert q.item(1)["b"] == {"x": [1, 2]} and q.get_item(1).first()["a"]["k"] == 3
+
+
 def test_names_helper(widgets):
     assert names(widgets.query({"status": "inactive"})) == ["Gamma Gadget"]
