@@ -1,8 +1,10 @@
 """Adding, copying, changing and deleting rows, in sets.
 
 The ``added``, ``copied``, ``updated`` and ``remaining`` methods give the table's new
-rows as a lazy DataFrame; ``commit`` stores one and says what changed.  New keys
-are numbered from the largest one on; two writers at once can take the same.
+rows as a lazy DataFrame; ``commit`` stores one and gives what changed, as rows that
+are read from the two stored versions.  ``insert`` writes new rows only, beside the
+stored ones.  New keys are numbered from the largest one on; of two writers at once
+the second is refused by the store.
 """
 
 from __future__ import annotations
@@ -25,17 +27,6 @@ from querywright.writes.store import ParquetStore
 from querywright.writes.values import default_of, new_uuid, validated
 
 
-@dataclass(frozen=True)
-class Event:
-    """A column that is watched went from one value to another, or a row went."""
-
-    kind: str
-    key: tuple[Any, ...]
-    column: str = ""
-    before: Any = None
-    after: Any = None
-
-
 @dataclass
 class Writer:
     """Writes to one table of a catalog.  ``store`` is where ``commit`` puts new rows."""
@@ -89,8 +80,9 @@ class Writer:
         return None
 
     def _largest(self, name: str) -> Column:
-        """The largest value of a column so far, 0 without any: a scalar subquery of the plan."""
-        return self.rows.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
+        """The largest value of a column so far, 0 without any, and not below what the store asks for: a scalar subquery of the plan."""
+        asked = (self.store.note("auto_increment") or 1) - 1 if self.store is not None else 0
+        return F.greatest(self.rows.agg(F.coalesce(F.max(name), F.lit(0))).scalar(), F.lit(asked))
 
     def new_rows(self, items: Sequence[Mapping[str, Any]]) -> DataFrame:
         """Complete rows from partial ones: defaults, stamps, checks, numbers."""
@@ -113,11 +105,21 @@ class Writer:
 
     def added(self, items: Sequence[Mapping[str, Any]]) -> DataFrame:
         """All rows with the new ones.  A new row whose key exists is left out."""
+        return self.rows.unionByName(self._fresh(items))
+
+    def _fresh(self, items: Sequence[Mapping[str, Any]]) -> DataFrame:
         new = self._shaped(self.new_rows(items))
         keys = list(self.spec.primary)
-        if keys:
-            new = new.join(self.rows.select(*keys), keys, "left_anti").select(*new.columns)
-        return self.rows.unionByName(new)
+        return new.join(self.rows.select(*keys), keys, "left_anti").select(*new.columns) if keys else new
+
+    def insert(self, items: Sequence[Mapping[str, Any]]) -> DataFrame:
+        """Store new rows beside the others, which are not written again; the rows as stored."""
+        store = self._writable()
+        before = set(store.parts())
+        store.append(self._fresh(items))
+        self._changed()
+        added = [p for p in store.parts() if p not in before]
+        return self.catalog.spark.read.parquet(*[f"{store.path}/{p}" for p in added])
 
     def _shaped(self, new: DataFrame) -> DataFrame:
         """New rows in the stored columns and types."""
@@ -198,11 +200,12 @@ class Writer:
         self._guarded(spec)
         return MetaWriter(self.catalog, self.spec.meta).purge(self.reader.select_primary_keys(spec), self.spec.primary[0])
 
-    def transitions(self, after: DataFrame) -> DataFrame:
-        """(keys, column, before, after) of watched columns that differ between now and ``after``."""
+    def transitions(self, after: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """(keys, column, before, after) of watched columns that differ between ``before`` (now) and ``after``."""
         keys = list(self.spec.primary)
+        before = self.rows if before is None else before
         watched = [c.name for c in self.spec.columns if c.transition]
-        a = self.rows.select(*keys, *[F.col(c).cast("string").alias(f"_a_{c}") for c in watched])
+        a = before.select(*keys, *[F.col(c).cast("string").alias(f"_a_{c}") for c in watched])
         b = after.select(*keys, *[F.col(c).cast("string").alias(f"_b_{c}") for c in watched])
         both = a.join(b, keys, "full_outer")
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_a_{c}").alias("before"), F.col(f"_b_{c}").alias("after")) for c in watched])
@@ -211,17 +214,36 @@ class Writer:
         told = both.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.column", "p.before", "p.after")
         return told.where(~F.col("before").eqNullSafe(F.col("after")))
 
-    def commit(self, after: DataFrame) -> list[Event]:
-        """Store ``after`` as the table's rows.  Returns the events; as many as rows changed."""
+    def deleted(self, after: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """The keys of rows that ``before`` (now) has and ``after`` has not."""
+        keys = list(self.spec.primary)
+        return (self.rows if before is None else before).select(*keys).join(after.select(*keys), keys, "left_anti")
+
+    def _writable(self) -> ParquetStore:
         if self.store is None:
             raise ValueError("commit needs a store")
-        before, keys = self.rows, list(self.spec.primary)
-        moved = self.transitions(after) if keys else None
-        events = [Event("transition", tuple(r[k] for k in keys), r["column"], r["before"], r["after"]) for r in moved.collect()] if moved is not None else []
-        gone = before.select(*keys).join(after.select(*keys), keys, "left_anti").collect() if keys else []
-        self.store.replace(after)
-        self.catalog.add(self.spec, self.store.read)
+        return self.store
+
+    def _changed(self) -> None:
+        self.catalog.add_stored(self.spec, self.store)
         self.catalog.changed()
-        return events + [Event("deleted", tuple(r[k] for k in keys)) for r in gone]
 
+    def commit(self, after: DataFrame) -> DataFrame:
+        """Store ``after`` as the table's rows.  Returns the events: (kind, keys, column, before, after).
 
+        ``after`` is evaluated once, by the write.  Events, of kind 'transition' or
+        'deleted', are the difference of the two stored versions, so what they say is
+        what was stored, and nothing of it is brought to the driver.
+        """
+        store, keys = self._writable(), list(self.spec.primary)
+        was = store.version()
+        now = store.replace(after)
+        self._changed()
+        if not was or not keys:
+            return self.transitions(after.limit(0), after.limit(0)).select(F.lit("").alias("kind"), "*") if keys else store.read(now).limit(0)
+        old, new = store.read(was), store.read(now)
+        moved = self.transitions(new, old).select(F.lit("transition").alias("kind"), *keys, "column", "before", "after")
+        none = F.lit(None).cast("string")
+        gone = self.deleted(new, old).select(F.lit("deleted").alias("kind"), *keys, F.lit("").alias("column"), none.alias("before"), none.alias("after"))
+        # A row that went is one event, not also a change of its columns to nothing.
+        return moved.join(gone.select(*keys), keys, "left_anti").select(*moved.columns).unionByName(gone)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+LEAST_BUCKETS = 1024
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with 1, 2, 3, .. in a column: rows are ranked inside hash buckets, buckets by their counts.
 
-    The counts are one row per bucket, so the only window over everything sees a
-    fixed number of rows.
+    There are 64 buckets for each shuffle partition, which large clusters have more of.
+    The counts are one row per bucket, so the only window over everything sees no more
+    rows than that.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_qw_bucket")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(LEAST_BUCKETS, 64 * partitions))).alias("_qw_bucket")
     counts = df.select(bucket).groupBy("_qw_bucket").agg(F.count(F.lit(1)).alias("_qw_m"))
     before = Window.orderBy("_qw_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_qw_bucket", F.coalesce(F.sum("_qw_m").over(before), F.lit(0)).alias("_qw_start"))
