@@ -113,14 +113,17 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", grade: str = "
     Kept are all features in ``least_docs`` sampled rows at least whose presence differs
     between grade 0 and the others by ``least_lift`` standard deviations at least; others
     would only be fitted to chance.  Null texts count as empty, rows of null grade are
-    left out; graded rows without a document (or an empty documents table) add nothing.
+    left out; of texts that share a key the one with the smallest hash is used; graded
+    rows without a document (or an empty documents table) add nothing.
     """
     grades = grades.where(F.col(grade).isNotNull())
     total = grades.count()
     spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
     picked = grades.where(spot < min(1.0, sample_rows / max(total, 1))).select(key, F.col(grade).cast("int").alias("g"))
     # The pick is bounded by sample_rows, about 20 bytes each; the texts stay where they are read.
-    sample = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), key).select("t", "g")
+    # However many texts share a picked key, one of them stands for it.
+    sample = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), key)
+    sample = sample.groupBy(key, "g").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "g")
 
     def tell(batches):
         for pdf in batches:
