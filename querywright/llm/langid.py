@@ -256,18 +256,24 @@ def fit(words: list[str], counts: np.ndarray, langs: list[str], prior: np.ndarra
     return model
 
 
-def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 500, seed: int = 7) -> UnigramModel | None:
-    """Fit on a seeded sample of about ``sample_docs`` whole texts of each language; None without labelled words."""
+def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 500, seed: int = 7, most_langs: int = 1_000) -> UnigramModel | None:
+    """Fit on a seeded sample of about ``sample_docs`` whole texts of each language; None without labelled words.
+
+    Repeated rows stand once in the sample, so it stays bounded whatever is repeated; the
+    model has a column for each language, so more than ``most_langs`` are refused.
+    """
     known = labelled.where(F.col(lang).isNotNull())
-    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
+    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     if not sizes:
         return None
     langs = sorted(sizes)
     rate = F.lit(0.0)
     for name in langs:
         rate = F.when(F.col(lang) == name, min(1.0, sample_docs / sizes[name])).otherwise(rate)
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    sample = known.where(spot < rate).select(lang, text)
+    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1_000_000)) / 1_000_000
+    sample = known.where(spot < rate).select(lang, text).distinct()
 
     def count(batches):
         table: Counter = Counter()
