@@ -222,7 +222,7 @@ def mix_by_membership(docs: DataFrame, members: str, size: str, targets: dict[st
     return mix(held, total, "_qw_pattern", size, key, seed, tie).drop("_qw_pattern")
 
 
-def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 4) -> DataFrame:
+def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", share: float = 1.5, cap: float = 2.0, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 4, most_sources: int = 1_000_000) -> DataFrame:
     """Mix documents that belong to one source each, weights going round ``cycle`` over the sorted sources.
 
     Returns key, source, size, source_size, target, copies, taken, and ``_qw_th``, the
@@ -235,7 +235,10 @@ def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "tex
     mark = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
     own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_qw_th")
     sized = written(docs.select(F.col(key), F.col(source), word_count(F.col(text)).alias("size"), mark.alias("_qw_mark"), own), "mix-sizes")
-    per_source = sized.groupBy("_qw_mark").agg(F.sum("size").alias("n")).collect()
+    # Targets need all sources at once: one row for each.
+    per_source = sized.groupBy("_qw_mark").agg(F.sum("size").alias("n")).limit(most_sources + 1).collect()
+    if len(per_source) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     sizes = sorted(((r["_qw_mark"], r["n"]) for r in per_source), key=lambda x: x[0])
     weights = [float(cycle[i % len(cycle)]) for i in range(len(sizes))]
     targets = capped_targets(sizes, weights, share, cap)

@@ -81,6 +81,26 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def mix_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document belongs to the source 'all' and English ones to 'en' as well; quotas ask for all words once, then twice.
+
+    Filling source by source would take English documents too often; the flow shares
+    their words between the two quotas.
+    """
+    docs = read_table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    sized = docs.select("doc_id", mixing.word_count(F.col("text")).alias("size"), F.when(english, F.array(F.lit("all"), F.lit("en"))).otherwise(F.array(F.lit("all"))).alias("members"))
+    sized = written(sized, "mix-overlapping")
+    n = sized.agg(F.sum(F.when(F.size("members") == 2, F.col("size"))).alias("en"), F.sum("size").alias("all")).first()
+    total, own = n["all"] or 0, (n["en"] or 0) // 3
+    out = None
+    for times in (1, 2):
+        mixed = mixing.mix_by_membership(sized, "members", "size", {"all": float(times * (total - own)), "en": float(times * own)})
+        part = mixed.select("doc_id", F.lit(times).alias("times"), "copies", "taken")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_contamination": op9_contamination,
     "op10_shards": op10_shards,
+    "mix_overlapping": mix_overlapping,
 }
 
 SQL: dict[str, str] = dict(oracle.SQL)

@@ -409,6 +409,23 @@ def test_language_queries(spark):
     assert docs.limit(2).select(langid.predict(spark, F.col("text"), None).alias("p")).first()["p"]["lang_pred"] == "und"
 
 
+def test_samples_stay_bounded_whatever_is_repeated(spark, monkeypatch):
+    """A third of the rows without a key, and a key with very many texts."""
+    rows = [(None, "the of and to", "en")] * 400 + [(7, f"der die das wort{'abcdefghij'[i % 10]}", "de") for i in range(400)] + [(100 + i, "the of and" if i % 2 else "der die das", "en" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda words, counts, *rest: seen.append(counts.sum()))
+    langid.train(docs, tokenizer_path("piece_bpe_32k.model"), sample_docs=20)
+    assert seen[0] < 400
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, "", most_langs=1)
+    labels = spark.createDataFrame([(7, 1, 1), (101, 1, 0), (102, 1, 0), (103, 1, 0)], "doc_id long, quality int, toxic int")
+    sizes = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades, n, k: sizes.append(len(rows)) or (np.zeros(n), np.zeros(2)))
+    ordinal.train(docs, ordinal.grades_from_labels(labels), least_docs=1, least_lift=0.0)
+    assert sizes == [4]
+
+
 def test_ordinal_thresholds_stay_in_order_and_share_weights():
     rng = np.random.default_rng(1)
     rows, grades = [], []
