@@ -200,10 +200,10 @@ class Query:
         wanted = spec.get("with") or {}
         wanted = dict(wanted) if isinstance(wanted, Mapping) else dict.fromkeys(_names(wanted))
         wanted = {n: most for n, most in wanted.items() if self.table.relation(n)}
-        if groups and len(keys) == 1:
-            # One row stands for each group: that with the smallest key.
-            chosen = df.groupBy(*groups).agg(F.min(keys[0]).alias("_qw_first")).select("_qw_first")
-            df = df.join(chosen, df[keys[0]] == chosen["_qw_first"], "left_semi")
+        if groups:
+            # One row stands for each group: that with the smallest key, or, without a key, the smallest one.
+            first = F.struct(*(keys or [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]))
+            df = df.groupBy(*groups).agg(F.min_by(F.struct(*df.columns), first).alias("_qw_row")).select("_qw_row.*")
         if spec.get("distinct") and keys:
             df = df.dropDuplicates(list(keys))
         df, order, helpers = order_rows(ctx, df, spec)

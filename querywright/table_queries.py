@@ -215,6 +215,23 @@ def meta_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(spark, [(c.name, c.type) for c in meta_table(declared("customer"))[0].columns], "name string, type string")
 
 
+# Groups.
+register("groupby_rows_without_key", "lineitem", {"groupby": ["l_returnflag", "l_linestatus"], "fields": ["l_returnflag", "l_linestatus", "l_orderkey"]}, "SELECT l_returnflag, l_linestatus, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1, 2")
+
+
+@query("agg_group_order", "SELECT row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place, o_orderpriority, count(*) AS n FROM orders GROUP BY 2")
+def agg_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query(sample_catalog(spark, sf_dir), "orders", OPTIONS)
+    rows = q.collect({"aggregate": {"n": ["count", "*"]}, "groupby": "o_orderpriority", "orderby": {"n": "DESC", "o_orderpriority": "ASC"}})
+    return told(spark, [(k, r["o_orderpriority"], r["n"]) for k, r in enumerate(rows, start=1)], "place long, o_orderpriority string, n long")
+
+
+@query("order_page_placed", "SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey FROM orders QUALIFY place BETWEEN 51 AND 75")
+def order_page_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Query(sample_catalog(spark, sf_dir), "orders", OPTIONS).collect({"orderby": {"o_totalprice": "DESC", "o_orderkey": "ASC"}, "number": 25, "offset": 50, "fields": "ids"})
+    return told(spark, [(50 + k, r["o_orderkey"]) for k, r in enumerate(rows, start=1)], "place long, o_orderkey long")
+
+
 # Dates.
 register("date_time_ranges", "events", {"date_query": {"hour": [9, 17], "minute": [0, 30], "compare": "BETWEEN"}}, "SELECT * FROM events WHERE hour(ts) BETWEEN 9 AND 17 AND minute(ts) BETWEEN 0 AND 30")
 register("date_time_lists", "events", {"date_query": {"hour": [9, 10], "second": [1, 2, 3]}}, "SELECT * FROM events WHERE hour(ts) IN (9, 10) AND second(ts) IN (1, 2, 3)")
