@@ -118,7 +118,9 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str) -> Column:
 
     ``vocabulary`` is the path of a byte-level BPE file in the tokenizers library's
     JSON format, read on the driver and broadcast (its size is fixed by the
-    vocabulary, about 1.5 MB here).  Null and empty texts have 0 tokens.
+    vocabulary, about 1.5 MB here).  Null and empty texts have 0 tokens; texts are read
+    whole, however long (a heap for each pre-token); added tokens' own strings count as
+    one token each; equal texts, repeated rows among them, have equal counts.
     """
     with open(vocabulary, "rb") as f:
         raw = f.read()
