@@ -30,6 +30,10 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def capped_targets(sizes: list[tuple[str, int]], weights: list[float], share: float, cap: float) -> list[float]:
     """Targets by weight that sum to ``share`` of all sizes, each at most ``cap`` times its size.
 
@@ -158,8 +162,8 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     ``pattern`` names an array column of sorted sources.  A flow F over a pattern of
     S tokens takes every document floor(F / S) times and, once more, those that fit
     into the rest of F in the seeded order; the gap that these leave is filled by
-    the document whose size comes nearest to it.  Documents of equal key are ordered
-    by size, then by the ``tie`` columns; those equal in all of them are equal rows.
+    the document whose size comes nearest to it.  The order is that of a hash of the key
+    and the ``tie`` columns, which tell documents of one key (or of none) apart.
     Columns named ``copies`` or ``taken`` are replaced.
     """
     spark = docs.sparkSession
@@ -167,7 +171,7 @@ def mix(docs: DataFrame, flows: dict[tuple[str, ...], float], pattern: str, size
     rows = docs.count()
     cells = bucket_count(rows)
     key_of = F.concat_ws("\x1f", F.transform(F.col(pattern), lambda s: F.concat(F.lit("v"), s)))
-    order = seeded(seed, F.col(key))
+    order = seeded(seed, F.col(key), *map(F.col, tie))
     base = docs.select(*keep, key_of.alias("_qw_p"), order.alias("_qw_o")).withColumn("_qw_c", hash_bucket(F.col("_qw_o"), cells))
     sums = base.groupBy("_qw_p", "_qw_c").agg(F.sum(size).alias("n"))
     before = running_totals(sums, ["_qw_p"], "_qw_c", {"n": "_qw_before"})
@@ -226,14 +230,14 @@ def mix_single_sources(docs: DataFrame, source: str = "source", text: str = "tex
     """Mix documents that belong to one source each, weights going round ``cycle`` over the sorted sources.
 
     Returns key, source, size, source_size, target, copies, taken, and ``_qw_th``, the
-    text's hash.  Sources sort by code point, null last.  Null and blank texts have size 0
+    text's digest.  Sources sort by code point, null last.  Null and blank texts have size 0
     and are never taken; sources without words get target 0.  Rows with a null key are
     mixed as others are; repeated rows are rows of their own; texts are counted whole; an
     empty table gives an empty result; other columns are left out.
     """
     # UTF-8 bytes sort as code points do; a null source gets a mark of its own.
     mark = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_qw_th")
+    own = text_digest(F.col(text)).alias("_qw_th")
     sized = written(docs.select(F.col(key), F.col(source), word_count(F.col(text)).alias("size"), mark.alias("_qw_mark"), own), "mix-sizes")
     # Targets need all sources at once: one row for each.
     per_source = sized.groupBy("_qw_mark").agg(F.sum("size").alias("n")).limit(most_sources + 1).collect()
@@ -256,6 +260,6 @@ def repeat_taken(docs: DataFrame, source: str = "source", text: str = "text", ke
     """
     taken = mix_single_sources(docs, source, text, key, **options)
     counts = taken.where("copies > 0").groupBy(F.col(key).alias("_qw_k"), F.col("_qw_th").alias("_qw_t")).agg(F.max("copies").alias("_qw_copies"))
-    named = docs.withColumn("_qw_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    named = docs.withColumn("_qw_h", text_digest(F.col(text)))
     met = named.join(counts, named[key].eqNullSafe(counts["_qw_k"]) & (named["_qw_h"] == counts["_qw_t"]))
     return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_qw_copies"))).alias("_qw_copy")).select(*docs.columns)

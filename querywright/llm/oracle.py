@@ -16,7 +16,7 @@ FROM r
 #: quotas is found among the sources in the order in which they reach their caps.
 MIX = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS th FROM documents),
 g AS (SELECT s, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY s),
 w AS (SELECT s, n, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY encode(s)) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS weight FROM g),
 o AS (SELECT *, 2.0 * n / weight AS full_at, row_number() OVER (ORDER BY 2.0 * n / weight, s) AS k FROM w),
@@ -26,7 +26,7 @@ u AS (SELECT k, full_at,
 f AS (SELECT unit FROM u WHERE unit < full_at ORDER BY k LIMIT 1),
 t AS (SELECT s, n, least(weight * (SELECT unit FROM f), 2.0 * n)::DOUBLE AS target FROM o),
 c AS (SELECT doc_id, s, size, n, target,
-  sum(size) OVER (PARTITION BY s ORDER BY md5('4:' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) AS e,
+  sum(size) OVER (PARTITION BY s ORDER BY md5('4:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || th), doc_id, size, th ROWS UNBOUNDED PRECEDING) AS e,
   CASE WHEN n > 0 THEN floor(target / n + 1e-9) ELSE 0 END AS whole
   FROM d JOIN t USING (s)),
 r AS (SELECT *, size > 0 AND e <= target - whole * n + 1e-6 AS fits FROM c),

@@ -114,7 +114,7 @@ def brute_leaks(rows, items):
     return kept
 
 
-def brute_mix(rows, hashes):
+def brute_mix(rows):
     """Each row as often as its source's quota takes it, in the seeded order."""
     size = {r: len([w for w in re.split(r"[\x20\x09-\x0D]+", r[1]) if w]) for r in rows}
     by = defaultdict(list)
@@ -135,7 +135,7 @@ def brute_mix(rows, hashes):
     for s, total in zip(names, totals, strict=True):
         whole = int(targets[s] / total + 1e-9)
         rest, end, ends = targets[s] - whole * total, 0, []
-        for r in sorted(by[s], key=lambda r: (hashlib.md5(f"4:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, size[r], hashes[r[1]])):
+        for r in sorted(by[s], key=lambda r: hashlib.md5(f"4:{'null' if r[0] is None else r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()):
             end += size[r]
             ends.append((r, end))
         fits = [(r, e) for r, e in ends if e <= rest + 1e-6]
@@ -163,14 +163,13 @@ def brute_shards(rows, n):
 def test_pipeline_equals_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is null or doc_id <> 903")
     rows = [tuple(r) for r in docs.collect()]
-    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), tokenizer_path("piece_bpe_32k.model"))
     want, got = rows, docs
     steps = {
         "language": lambda x: brute_language(x, model),
         "near_duplicates": brute_near,
         "benchmark_leaks": lambda x: brute_leaks(x, [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]),
-        "source_mix": lambda x: brute_mix(x, hashes),
+        "source_mix": brute_mix,
     }
     for name, stage in corpus_pipeline.STAGES[:-1]:
         want, got = steps[name](want), written(stage(spark, got, folder), name)
