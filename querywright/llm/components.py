@@ -33,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = written(labels.join(near, "x").select("x", "l", "m", "n"), "cc-seen")
         lower = seen.where(F.col("m") < F.col("l"))
         if lower.isEmpty():
-            drop_written(spark, seen)
+            drop_written(spark, seen, both)
             return labels.select(F.col("x").alias("node"), F.col("l").alias("root"))
         hooks = lower.groupBy(F.col("l").alias("x")).agg(F.min("m").alias("h"))
         step = written(seen.join(hooks, "x", "left").select("x", F.least("l", "m", "h").alias("l"), "n"), "cc-step")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querywright.llm.common import spread_join, written
+from querywright.llm.common import drop_written, spread_join, written
 from querywright.llm.components import components
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
@@ -264,16 +264,19 @@ def grouped(docs: DataFrame, key: str, text: str, n: int, threshold: float, reca
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.withColumn("task", F.pmod(F.xxhash64("grp") % tasks + number, F.lit(tasks)).cast("int"))
     pairs = pairs.repartitionById(tasks, "task").drop("nb", "task").sortWithinPartitions("grp", "lo", "hi", "node")
-    linked_ = written(check_blocks(pairs, n, limit), "jaccard-links")
+    found_links = written(check_blocks(pairs, n, limit), "jaccard-links")
 
-    links = linked_.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(linked_.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found_links.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found_links.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.select("node", "set_hash", "id", "th", "copies").join(links, "node", "left").join(joined, "node", "left")
     known = written(known.withColumn("root", F.coalesce("root", "node")), "jaccard-linked")
     best = known.groupBy("root").agg(F.min(row).alias("w"), F.count(F.lit(1)).alias("m")).select("root", F.col("w.id").alias("win_id"), F.col("w.th").alias("win_th"), "m")
-    final = spread_join(known, written(best, "jaccard-best"), "root", "m", known.count())
+    best = written(best, "jaccard-best")
+    final = spread_join(known, best, "root", "m", known.count())
     final = written(final.select("set_hash", F.col("id").alias("rep_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "win_id", "win_th"), "jaccard-final")
-    return written(spread_join(told.select("id", "th", "set_hash"), final, "set_hash", "copies", told.count()).drop("set_hash", "copies"), "jaccard-rows")
+    result = written(spread_join(told.select("id", "th", "set_hash"), final, "set_hash", "copies", told.count()).drop("set_hash", "copies"), "jaccard-rows")
+    drop_written(docs.sparkSession, told, classes, shared, sizes, found_links, known, best, final)
+    return result
 
 
 def similarity_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256) -> DataFrame:
