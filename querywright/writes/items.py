@@ -27,6 +27,10 @@ from querywright.writes.store import ParquetStore
 from querywright.writes.values import default_of, new_uuid, validated
 
 
+#: What a watched column of a row went from that was not there before.
+NEW = "new"
+
+
 @dataclass
 class Writer:
     """Writes to one table of a catalog.  ``store`` is where ``commit`` puts new rows."""
@@ -127,12 +131,12 @@ class Writer:
         return new.select(*[F.col(n).cast(t).alias(n) for n, t in there.items()])
 
     def copied(self, spec: Mapping[str, Any], changes: Mapping[str, Any]) -> DataFrame:
-        """All rows with copies of the matching ones: changed as asked, with new names and times of their own."""
+        """All rows with copies of the matching ones: changed as asked, with new numbers, names and times of their own."""
         self._guarded(spec)
         kept = self.reader.matched(self.reader.normalized(spec))
         top = None
         for c in self.spec.columns:
-            if c.name in changes:
+            if c.name in changes and c.extra != "auto_increment":
                 kept = kept.withColumn(c.name, validated(c, F.lit(None if changes[c.name] is None else text_of(changes[c.name]))).cast(dict(self.rows.dtypes)[c.name]))
             elif c.uuid:
                 kept = kept.withColumn(c.name, new_uuid())
@@ -201,14 +205,18 @@ class Writer:
         return MetaWriter(self.catalog, self.spec.meta).purge(self.reader.select_primary_keys(spec), self.spec.primary[0])
 
     def transitions(self, after: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        """(keys, column, before, after) of watched columns that differ between ``before`` (now) and ``after``."""
+        """(keys, column, before, after) of watched columns that differ between ``before`` (now) and ``after``.
+
+        Of a row that was not there all watched columns were ``new``; one that went has no transitions.
+        """
         keys = list(self.spec.primary)
         before = self.rows if before is None else before
         watched = [c.name for c in self.spec.columns if c.transition]
-        a = before.select(*keys, *[F.col(c).cast("string").alias(f"_a_{c}") for c in watched])
+        a = before.select(*keys, F.lit(True).alias("_a_there"), *[F.col(c).cast("string").alias(f"_a_{c}") for c in watched])
         b = after.select(*keys, *[F.col(c).cast("string").alias(f"_b_{c}") for c in watched])
-        both = a.join(b, keys, "full_outer")
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_a_{c}").alias("before"), F.col(f"_b_{c}").alias("after")) for c in watched])
+        both = b.join(a, keys, "left")
+        old = {c: F.when(F.col("_a_there").isNull(), F.lit(NEW)).otherwise(F.col(f"_a_{c}")) for c in watched}
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), old[c].alias("before"), F.col(f"_b_{c}").alias("after")) for c in watched])
         if not watched:
             return both.select(*keys, F.lit("").alias("column"), F.lit("").alias("before"), F.lit("").alias("after")).limit(0)
         told = both.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.column", "p.before", "p.after")
@@ -245,5 +253,4 @@ class Writer:
         moved = self.transitions(new, old).select(F.lit("transition").alias("kind"), *keys, "column", "before", "after")
         none = F.lit(None).cast("string")
         gone = self.deleted(new, old).select(F.lit("deleted").alias("kind"), *keys, F.lit("").alias("column"), none.alias("before"), none.alias("after"))
-        # A row that went is one event, not also a change of its columns to nothing.
-        return moved.join(gone.select(*keys), keys, "left_anti").select(*moved.columns).unionByName(gone)
+        return moved.unionByName(gone)

@@ -60,7 +60,7 @@ def test_update_delete_copy_and_events(writer):
     later = Writer(writer.catalog, "widget", writer.store, Options())
     same = by_id(later.updated({"id": 1}, {"status": "off"}))
     assert same[1]["date_modified"] == NOW
-    copy = by_id(writer.copied({"id": 3}, {"name": "copy"}))
+    copy = by_id(writer.copied({"id": 3}, {"name": "copy", "id": 1, "nothing": 2}))
     assert copy[4]["name"] == "copy" and copy[4]["uuid"] != copy[3]["uuid"] and copy[4]["status"] == "off"
     assert [tuple(r) for r in writer.commit(writer.remaining({"id__in": [2]})).collect()] == [("deleted", 2, "", None, None)]
     assert sorted(by_id(writer.rows)) == [1, 3]
@@ -176,6 +176,24 @@ def test_events_name_what_was_stored(spark, tmp_path):
     assert {r["id"]: r["after"] for r in events.collect()} == {r["id"]: r["tag"] for r in w.rows.collect()}
 
 
+def test_events_of_new_null_and_unchanged_values(spark, tmp_path):
+    spec = TableSpec("s", (identifier(), C("state", "varchar", 20, allow_null=True, transition=True), C("rank", "bigint", default=0, transition=True), C("other", "bigint", default=0)))
+    store = ParquetStore(spark, str(tmp_path / "s"))
+    store.replace(spark.createDataFrame([], spec.struct()))
+    w = Writer(Catalog(spark).add_stored(spec, store), "s", store)
+
+    def events(after):
+        return sorted(((r["kind"], r["id"], r["column"], r["before"], r["after"]) for r in w.commit(after).collect()), key=str)
+
+    assert events(w.added([{"state": "active"}, {"state": None}])) == [("transition", 1, "rank", "new", "0"), ("transition", 1, "state", "new", "active"), ("transition", 2, "rank", "new", "0"), ("transition", 2, "state", "new", None)]
+    assert events(w.updated({"id": 1}, {"state": None})) == [("transition", 1, "state", "active", None)]
+    assert events(w.updated({"id": 1}, {"state": "again"})) == [("transition", 1, "state", None, "again")]
+    # A value that is read back as the stored one, or a change of another column, moves nothing that is watched.
+    assert events(w.updated({"id": 1}, {"rank": "no number"})) == events(w.updated({"id": 1}, {"other": 5})) == []
+    assert by_id(w.rows)[1]["other"] == 5
+    assert events(w.remaining({"id": 2})) == [("deleted", 2, "", None, None)]
+
+
 def test_names_without_their_prefix_become_the_default(spark):
     from querywright.writes.values import validated
 
