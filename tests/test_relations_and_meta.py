@@ -100,6 +100,18 @@ def test_relation_groups(shop):
     assert ids(shop, "order", {"relation_query": {"name": "customer"}, "criteria": {"relation": "OR", "items": ["relation", "by"]}}) == []
 
 
+def test_pages_with_relations_are_settled_and_guarded(shop):
+    rows = {r["id"]: r["children"] for r in Query(shop, "order").query({"with": {"children": 1, "nothing": 2}, "number": 2, "orderby": "none"}).collect()}
+    assert {k: [c["id"] for c in v] for k, v in rows.items()} == {11: [12], 12: []}
+    q = Query(shop, "customer", denied=frozenset({"status", "order.parent_id"}))
+    kept = q.query({"with": ["orders"], "number": 0})
+    assert "status" not in kept.columns and kept.schema["orders"].dataType.elementType.fieldNames() == ["id", "customer_id"]
+    assert q.related("orders").columns == ["_base_id", "id", "customer_id"]
+    no_key = Query(shop, "customer", denied=frozenset({"id"}))
+    assert [len(r["orders"]) for r in no_key.query({"with": ["orders"], "number": 0}).collect()] == [1, 1, 1]
+    assert no_key.query({"fields": "ids", "number": 0}).columns == [] and no_key.related("orders").columns == ["id", "customer_id", "parent_id"]
+
+
 def test_related_and_prefetch(shop):
     q = Query(shop, "order")
     assert sorted((r["_base_id"], r["name"]) for r in q.related("tags").collect()) == [(11, "blue"), (11, "red"), (12, "blue")]
