@@ -22,6 +22,7 @@ from querywright.plans.query import Hooks, Query
 from querywright.plans.relations import integrity
 from querywright.queries import NOW, OPTIONS, _metadata, col, func, interval, query, register, where
 from querywright.sources.catalog import Catalog
+from querywright.sources.connection import Connection, NullConnection
 from querywright.sources.scratch import scratch
 from querywright.tables import TABLES, event_metadata, sample_catalog
 from querywright.writes.items import Writer
@@ -215,6 +216,31 @@ def meta_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(spark, [(c.name, c.type) for c in meta_table(declared("customer"))[0].columns], "name string, type string")
 
 
+# Plain SQL.
+@query("connection_frame", "SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 100.5 GROUP BY 1")
+def connection_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT n_name, count(*) AS n FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey WHERE c_mktsegment = :segment AND c_acctbal > :least GROUP BY 1"
+    return Connection(sample_catalog(spark, sf_dir)).frame(sql, segment="BUILDING", least=100.5)
+
+
+@query("connection_reads", "SELECT (SELECT count(*) FROM nation) AS n, (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 3) AS fourth, (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) FROM region) AS names, 0 AS inert")
+def connection_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Connection(sample_catalog(spark, sf_dir))
+    n = c.value("SELECT count(*) FROM {nation}")
+    fourth = c.row("SELECT * FROM {nation} ORDER BY n_nationkey", 3)["n_name"]
+    names = c.column("SELECT * FROM {region} ORDER BY r_regionkey", 1)
+    inert = NullConnection(c.catalog)
+    return told(spark, [(n, fourth, ",".join(names), len(inert.rows("SELECT * FROM {nation}")) + inert.delete("nation", {"n_nationkey": 1}))], "n long, fourth string, names string, inert int")
+
+
+@query("connection_writes", "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'RENAMED' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 4 UNION ALL SELECT 90, 'ATLANTIS'")
+def connection_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = stored(spark, sf_dir, "region")
+    c = Connection(Catalog(spark).add_stored(table.spec, table.store), OPTIONS)
+    touched = [c.insert("region", {"r_regionkey": 90, "r_name": "ATLANTIS"}), c.update("region", {"r_name": "RENAMED"}, {"r_regionkey": 2}), c.delete("region", {"r_regionkey": 4}), c.delete("region", {"r_name": None})]
+    return c.frame("SELECT * FROM {region}") if touched == [1, 1, 1, 0] else c.frame("SELECT * FROM {region} WHERE false")
+
+
 # Groups.
 register("groupby_rows_without_key", "lineitem", {"groupby": ["l_returnflag", "l_linestatus"], "fields": ["l_returnflag", "l_linestatus", "l_orderkey"]}, "SELECT l_returnflag, l_linestatus, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1, 2")
 

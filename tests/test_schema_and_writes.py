@@ -15,6 +15,7 @@ from querywright.model.validation import schema_errors
 from querywright.plans.context import Options
 from querywright.plans.query import Query
 from querywright.sources.catalog import Catalog
+from querywright.sources.connection import Connection, NullConnection
 from querywright.writes.items import Writer
 from querywright.writes.store import Conflict, ParquetStore
 from tests.conftest import NOW
@@ -194,6 +195,24 @@ def test_events_of_new_null_and_unchanged_values(spark, tmp_path):
     assert events(w.remaining({"id": 2})) == [("deleted", 2, "", None, None)]
 
 
+def test_connection_binds_values_and_counts_changes(writer):
+    c = Connection(writer.catalog, Options(now=NOW))
+    assert c.value("SELECT name FROM {widget} WHERE name = :n", n="first' OR '1' = '1") is None
+    assert c.value("SELECT id, name FROM {widget} WHERE name = :n", 1, n="first") == "first" and c.value("SELECT 1", 5) is None
+    assert c.column("SELECT * FROM {widget} ORDER BY id") == [1, 2, 3] and c.column("SELECT 1", 3) == [] and c.row("SELECT 1", 2) is None
+    assert c.rows("SELECT * FROM {widget} WHERE name LIKE :p", p=c.like("f%") + "%") == [] and c.like("a_b%") == "a\\_b\\%"
+    assert c.insert("widget", [{"name": "a, b"}, {"id": 1}]) == 1 and c.update("widget", {"status": "z"}, {"name": "a, b"}) == 1
+    assert c.update("widget", {"status": "q"}, {"seen": None}) == 1 and c.delete("widget", {"id": 99}) == 0 and c.delete("widget", {"id": 4}) == 1
+    assert sorted(by_id(writer.catalog.frame("widget"))) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        c.delete("widget", {})
+    with pytest.raises(PermissionError):
+        c.insert("nothing", {"id": 1})
+    none = NullConnection(writer.catalog)
+    assert none.rows("SELECT * FROM {widget}") == [] and none.value("x") is None and none.column("x") == []
+    assert none.insert("widget", {"id": 9}) == none.update("widget", {}, {}) == none.delete("widget", {}) == 0
+
+
 def test_names_without_their_prefix_become_the_default(spark):
     from querywright.writes.values import validated
 
