@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querywright.llm.common import KeyRanges, range_bytes
+from querywright.llm.common import KeyRanges, drop_written, range_bytes, written
 
 LEAST, WISHED, MOST = 8, 32, 128
 #: Bits of the gear hash that must be zero: two more than the wished length asks for, and two less.
@@ -131,29 +131,29 @@ def fingerprint_with_neighbours(docs: DataFrame, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("o", F.coalesce("k", F.lit(-(1 << 63))))
-    # Bytes place the cuts only; octet_length reads no Python.
-    sizes = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("o"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 16).cast("long").alias("n"))
-    size = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    ranges = KeyRanges(sizes, "o", "n", int(max(1, size // range_bytes(size, bytes_per_range))))
     # The upper half of the signed hash, from 0 on: it ascends with the hash.
-    spot = F.shiftright(F.xxhash64("t"), 32) + (1 << 31)
-    ranged = base.withColumn("r", ranges.bucket(F.col("o"), spot))
+    spot = F.shiftright(F.col("h"), 32) + (1 << 31)
+    # One narrow row for each text says how the texts are dealt; the texts are read twice, shuffled once.
+    named = base.withColumn("h", F.xxhash64("t"))
+    narrow = written(named.select("o", "h", (F.octet_length("t") + 16).cast("long").alias("n")), "cdc-sizes")
+    size = narrow.agg(F.sum("n").alias("n")).first()["n"] or 0
+    ranges = KeyRanges(narrow, "o", "n", int(max(1, size // range_bytes(size, bytes_per_range))))
+    bucket = ranges.bucket(F.col("o"), spot)
 
     # The row that follows a range's last one: the first (largest) of the next lower range that has rows.
-    order = F.struct("o", F.xxhash64("t").alias("h"), "t", "k")
-    heads = ranged.groupBy("r").agg(F.max(F.struct("o", F.xxhash64("t").alias("h"))).alias("top")).orderBy(F.desc("r")).collect()
-    after = [heads[(i + 1) % len(heads)] for i in range(len(heads))]
-    wanted = [(a["r"], a["top"]["o"], a["top"]["h"], h["r"]) for a, h in zip(after, heads, strict=True)]
-    if not wanted:
+    heads = narrow.groupBy(bucket.alias("r")).agg(F.max(F.struct("o", "h")).alias("top")).orderBy(F.desc("r")).collect()
+    drop_written(spark, narrow)
+    if not heads:
         return spark.createDataFrame([], OUT)
-    # One row for each range.
-    plan = spark.createDataFrame(wanted, "r int, top long, top_h long, goes_to int")
-    first = ranged.join(F.broadcast(plan), "r").where((F.col("o") == F.col("top")) & (F.xxhash64("t") == F.col("top_h")))
-    first = first.groupBy("goes_to").agg(F.max(order).alias("m")).select(F.col("m.k").alias("k"), F.col("m.o").alias("o"), F.col("m.t").alias("t"), F.col("goes_to").alias("r"))
-
-    rows = ranged.select("r", F.lit(0).alias("tail"), "k", "o", "t").unionByName(first.select("r", F.lit(1).alias("tail"), "k", "o", "t"))
-    # Each range to a task of its own.
-    dealt = rows.repartitionById(len(ranges), "r").sortWithinPartitions("r", "tail", F.desc("o"), F.desc(F.xxhash64("t")), F.desc("t")).drop("o")
+    # One row for each range; its first row goes to the range above as well, to end it.
+    plan = spark.createDataFrame([(h["r"], h["top"]["o"], h["top"]["h"], heads[i - 1]["r"]) for i, h in enumerate(heads)], "r int, top long, top_h long, goes_to int")
+    ranged = named.withColumn("r", bucket).join(F.broadcast(plan), "r")
+    own = F.struct(F.col("r"), F.lit(0).alias("tail"))
+    also = F.struct(F.col("goes_to").alias("r"), F.lit(1).alias("tail"))
+    places = F.when((F.col("o") == F.col("top")) & (F.col("h") == F.col("top_h")), F.array(own, also)).otherwise(F.array(own))
+    rows = ranged.select(F.explode(places).alias("p"), "k", "o", "h", "t").select("p.r", "p.tail", "k", "o", "h", "t")
+    # Each range to a task of its own.  Rows equal to a first one end the range above once.
+    dealt = rows.repartitionById(len(ranges), "r").sortWithinPartitions("r", "tail", F.desc("o"), F.desc("h"), F.desc("t")).drop("o", "h")
 
     def run(batches):
         # One row at a time out of each Arrow batch: texts never stand in memory twice over.
