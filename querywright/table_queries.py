@@ -211,6 +211,22 @@ register_meta_type("binary", "BINARY", "LIKE", "-02 0", "contains(strftime(ts, '
 register_meta_type("unsigned", "UNSIGNED", ">", 97, "event_id % 100 > 97")
 
 
+# Several clauses over one key: each is a test of its own, whatever joins they might share.
+_CLICKS = "SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'click'"
+register(
+    "meta_same_key_or",
+    "customer",
+    {"meta_query": {"relation": "OR", "clauses": [{"key": "click", "compare": "<", "value": 2, "type": "DECIMAL(12,4)"}, {"key": "click", "compare": ">", "value": 98, "type": "DECIMAL(12,4)"}]}, "fields": "ids"},
+    f"SELECT c_custkey FROM customer WHERE EXISTS ({_CLICKS} AND (CAST(value AS DECIMAL(12,4)) < 2 OR CAST(value AS DECIMAL(12,4)) > 98))",
+)
+register(
+    "meta_same_key_negatives",
+    "customer",
+    {"meta_query": [{"key": "click", "compare": "NOT BETWEEN", "value": [0, 60], "type": "DECIMAL(12,4)"}, {"key": "click", "compare": "NOT BETWEEN", "value": [40, 1000], "type": "DECIMAL(12,4)"}], "fields": "ids"},
+    f"SELECT c_custkey FROM customer WHERE EXISTS ({_CLICKS} AND CAST(value AS DECIMAL(12,4)) NOT BETWEEN 0 AND 60) AND EXISTS ({_CLICKS} AND CAST(value AS DECIMAL(12,4)) NOT BETWEEN 40 AND 1000)",
+)
+
+
 @query("meta_schema", "SELECT * FROM (VALUES ('meta_id', 'bigint'), ('customer_id', 'bigint'), ('meta_key', 'varchar'), ('meta_value', 'longtext')) t(name, type)")
 def meta_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(spark, [(c.name, c.type) for c in meta_table(declared("customer"))[0].columns], "name string, type string")
