@@ -247,9 +247,11 @@ class Writer:
         was = store.version()
         now = store.replace(after)
         self._changed()
-        if not was or not keys:
-            return self.transitions(after.limit(0), after.limit(0)).select(F.lit("").alias("kind"), "*") if keys else store.read(now).limit(0)
-        old, new = store.read(was), store.read(now)
+        new = store.read(now)
+        old = store.read(was) if was else new.limit(0)
+        if not keys:
+            # Rows without a key cannot be followed from one version to the next.
+            return self.catalog.spark.createDataFrame([], "kind string, column string, before string, after string")
         moved = self.transitions(new, old).select(F.lit("transition").alias("kind"), *keys, "column", "before", "after")
         none = F.lit(None).cast("string")
         gone = self.deleted(new, old).select(F.lit("deleted").alias("kind"), *keys, F.lit("").alias("column"), none.alias("before"), none.alias("after"))

@@ -3,7 +3,8 @@
 Parquet files cannot be changed in place, so a change writes new parts and then a
 pointer: a replacement names its own part only, an append those of before as well.
 Readers of an older version are not disturbed.  Two writers that start from the same
-version cannot both succeed: the second finds the pointer's name taken.
+version cannot both succeed: the second finds the pointer's name taken.  That, and the
+lock, ask for a file system that refuses to create a file twice, as HDFS and local ones do.
 """
 
 from __future__ import annotations

@@ -213,6 +213,16 @@ def test_connection_binds_values_and_counts_changes(writer):
     assert none.insert("widget", {"id": 9}) == none.update("widget", {}, {}) == none.delete("widget", {}) == 0
 
 
+def test_events_of_a_first_version_and_of_rows_without_a_key(spark, tmp_path):
+    spec = TableSpec("f", (C("id", "bigint", primary=True), C("state", "varchar", 20, transition=True)))
+    store = ParquetStore(spark, str(tmp_path / "f"))
+    w = Writer(Catalog(spark).add(spec, spark.createDataFrame([], spec.struct())), "f", store)
+    assert [tuple(r) for r in w.commit(spark.createDataFrame([(1, "on")], spec.struct())).collect()] == [("transition", 1, "state", "new", "on")]
+    bare = TableSpec("b", (C("x", "bigint"),))
+    w = Writer(Catalog(spark).add(bare, spark.createDataFrame([], bare.struct())), "b", ParquetStore(spark, str(tmp_path / "b")))
+    assert w.commit(spark.createDataFrame([(1,)], bare.struct())).count() == 0 and w.rows.count() == 1
+
+
 def test_names_without_their_prefix_become_the_default(spark):
     from querywright.writes.values import validated
 
