@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,8 +243,11 @@ def add_long_word(model: UnigramModel, word: str, weight: np.ndarray, out: np.nd
 
 def fit(words: list[str], counts: np.ndarray, langs: list[str], prior: np.ndarray, pieces: list[str], rounds: int = 3, smooth: float = 0.1) -> UnigramModel:
     """Expectation maximisation from equal probabilities.  ``counts``: words by languages."""
-    longest = max(map(len, pieces), default=1)
-    present = {w[i:j] for w in (MARK + x for x in words) for i in range(len(w)) for j in range(i + 1, min(len(w), i + longest) + 1)}
+    longest, known, present = max(map(len, pieces), default=1), set(pieces), set()
+    for word in words:
+        w = MARK + word
+        # Only pieces are kept: all substrings would be many times the words.
+        present.update(known.intersection([w[i:j] for i in range(len(w)) for j in range(i + 1, min(len(w), i + longest) + 1)]))
     pieces = [p for p in pieces if p in present or len(p) == 1]
     prob = np.full((len(pieces) + 2, len(langs)), 1.0 / (len(pieces) + 1))
     prob[0] = 0
@@ -287,14 +291,13 @@ def train(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
 
     table = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # All word types of the sample: its size is what bounds them.
-    rows = table.toPandas()
-    if rows.empty:
+    rows = table.toArrow()
+    if not rows.num_rows:
         return None
-    column = {name: k for k, name in enumerate(langs)}
-    words = sorted(set(rows["word"]))
-    place = {w: k for k, w in enumerate(words)}
+    words = sorted(pc.unique(rows["word"]).to_pylist())
     counts = np.zeros((len(words), len(langs)))
-    counts[[place[w] for w in rows["word"]], [column[x] for x in rows["lang"]]] = rows["n"].to_numpy()
+    counts[pc.index_in(rows["word"], pa.array(words)).to_numpy(), pc.index_in(rows["lang"], pa.array(langs)).to_numpy()] = rows["n"].to_numpy()
+    del rows
     prior = np.array([sizes[x] for x in langs], float)
     return fit(words, counts, langs, prior / prior.sum(), load_pieces(vocabulary))
 
