@@ -24,10 +24,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
     both = written(both.distinct(), "cc-edges")
-    ends = both.count()
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l"), F.count(F.lit(1)).alias("n")), "cc-labels")
-    nodes = labels.count()
-    while True:
+    sums = labels.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("ends")).first()
+    nodes, ends = sums["nodes"], sums["ends"]
+    while nodes:
         told = labels.select(F.col("x").alias("y"), "l", "n")
         near = spread_join(both, told, "y", "n", ends).groupBy("x").agg(F.min("l").alias("m"))
         seen = written(labels.join(near, "x").select("x", "l", "m", "n"), "cc-seen")
@@ -42,3 +42,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = written(spread_join(step, jump, "l", "k", nodes).select("x", F.least("l", "ll").alias("l"), "n"), "cc-labels")
         drop_written(spark, seen, step, labels)
         labels = after
+    return labels.select(F.col("x").alias("node"), F.col("l").alias("root"))

@@ -180,7 +180,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(node, links, root) for each node of each block pair: links found there, and a linked smaller node.
+    """(node, links, root, nb) for each node of each block pair: links found there, and the smallest node linked through it.
 
     Rows come sorted by (grp, lo, hi); one block pair is held at a time, two blocks
     at most.
@@ -188,14 +188,14 @@ def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
     def run(batches):
         at, held = None, []
-        names = ("grp", "lo", "hi", "block", "node", "copies", "t")
+        names = ("grp", "lo", "hi", "nb", "block", "node", "copies", "t")
         for batch in batches:
             out = []
-            for grp, lo, hi, block, node, copies, t in streamed(batch, *names):
-                if (grp, lo, hi) != at:
+            for grp, lo, hi, nb, block, node, copies, t in streamed(batch, *names):
+                if (grp, lo, hi, nb) != at:
                     if held:
                         out += settle(at, held)
-                    at, held = (grp, lo, hi), []
+                    at, held = (grp, lo, hi, nb), []
                 held.append((block, node, copies, ngram_set(t, n)))
             if out:
                 yield told(out)
@@ -203,7 +203,7 @@ def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             yield told(out)
 
     def told(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "links", "root", "nb"])
 
     def settle(at, held):
         block, ids, copies = np.array([x[0] for x in held]), [x[1] for x in held], np.array([x[2] for x in held], np.int64)
@@ -224,9 +224,9 @@ def check_blocks(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             # One union for each new neighbour; those already joined cost a lookup.
             for j in right[row].tolist():
                 forest.join(i, j)
-        return [(ids[i], int(links[i]), ids[forest.root(i)]) for i in range(len(held)) if links[i]]
+        return [(ids[i], int(links[i]), ids[forest.root(i)], at[3]) for i in range(len(held)) if links[i]]
 
-    return rows.mapInArrow(run, "node long, links long, root long")
+    return rows.mapInArrow(run, "node long, links long, root long, nb long")
 
 
 def grouped(docs: DataFrame, key: str, text: str, n: int, threshold: float, recall: float, block: int) -> DataFrame:
@@ -243,6 +243,8 @@ def grouped(docs: DataFrame, key: str, text: str, n: int, threshold: float, reca
     classes = told.groupBy("set_hash").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("copies"), F.max_by("keys", F.col("n_grams")).alias("keys"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "copies", "keys"), "jaccard-classes")
 
+    count = classes.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+
     keys = classes.select("node", F.explode("keys").alias("k"))
     shared = written(keys.groupBy("k").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-shared")
     met = shared.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()["n"]
@@ -263,18 +265,21 @@ def grouped(docs: DataFrame, key: str, text: str, n: int, threshold: float, reca
     number = F.expr("CAST(lo AS LONG) * nb - CAST(lo AS LONG) * (lo - 1) div 2 + hi - lo")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.withColumn("task", F.pmod(F.xxhash64("grp") % tasks + number, F.lit(tasks)).cast("int"))
-    pairs = pairs.repartitionById(tasks, "task").drop("nb", "task").sortWithinPartitions("grp", "lo", "hi", "node")
+    pairs = pairs.repartitionById(tasks, "task").drop("task").sortWithinPartitions("grp", "lo", "hi", "node")
     found_links = written(check_blocks(pairs, n, limit), "jaccard-links")
 
     links = found_links.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found_links.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # A group of one block is settled by its one check; of the others the parts are put together.
+    parts = found_links.where((F.col("nb") > 1) & (F.col("node") != F.col("root")))
+    joined = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = joined.unionByName(found_links.where("nb = 1").select("node", "root"))
     known = classes.select("node", "set_hash", "id", "th", "copies").join(links, "node", "left").join(joined, "node", "left")
     known = written(known.withColumn("root", F.coalesce("root", "node")), "jaccard-linked")
     best = known.groupBy("root").agg(F.min(row).alias("w"), F.count(F.lit(1)).alias("m")).select("root", F.col("w.id").alias("win_id"), F.col("w.th").alias("win_th"), "m")
     best = written(best, "jaccard-best")
-    final = spread_join(known, best, "root", "m", known.count())
+    final = spread_join(known, best, "root", "m", count["classes"])
     final = written(final.select("set_hash", F.col("id").alias("rep_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "win_id", "win_th"), "jaccard-final")
-    result = written(spread_join(told.select("id", "th", "set_hash"), final, "set_hash", "copies", told.count()).drop("set_hash", "copies"), "jaccard-rows")
+    result = written(spread_join(told.select("id", "th", "set_hash"), final, "set_hash", "copies", count["rows"]).drop("set_hash", "copies"), "jaccard-rows")
     drop_written(docs.sparkSession, told, classes, shared, sizes, found_links, known, best, final)
     return result
 
