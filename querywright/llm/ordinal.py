@@ -1,6 +1,6 @@
 """Operator 1, toxicity: cumulative-link ordinal regression over sparse text features.
 
-Severity grades 0..K share one weight vector; the K thresholds that part them are
+Severity grades 0..K share one vector of weights, none below 0; the K thresholds that part them are
 ordered, and P(grade > k) is the logistic function of (score - threshold k).  A
 text's expected severity is the sum of these probabilities.
 
@@ -55,11 +55,12 @@ def penalised_loss(w: np.ndarray, cuts: np.ndarray, rows: list[np.ndarray], grad
     return float(-np.log(over[here, grades] - over[here, grades + 1]).mean() + ridge / 2 * (w @ w))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, rounds: int = 500, ridge: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, rounds: int = 400, ridge: float = 1e-5, rate: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood by Adam on all rows at once, the step falling to nothing.
 
-    The thresholds are kept in order by writing them as a first one and positive
-    steps.
+    Weights are at least 0: a feature can raise the severity, and the many harmless ones
+    of a long text cannot talk it down.  The thresholds are kept in order by writing
+    them as a first one and positive steps.
     """
     lengths = np.array([len(r) for r in rows])
     row_of = np.repeat(np.arange(len(rows)), lengths)
@@ -92,6 +93,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: i
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             x -= rate * (1 - t / (rounds + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+        np.maximum(w, 0, out=w)
     steps = np.log1p(np.exp(theta[1:]))
     return w, np.concatenate([theta[:1], theta[0] + np.cumsum(steps)])
 

@@ -446,7 +446,7 @@ def test_fit_reaches_the_least_loss():
     rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(300)]
     grades = np.array([min(2, (0 in r) + (1 in r) * int(rng.random() < 0.8) + int(rng.random() < 0.1)) for r in rows])
     ridge = 1e-2
-    w, cuts = ordinal.fit(rows, grades, 6, 3, rounds=1500, ridge=ridge)
+    w, cuts = ordinal.fit(rows, grades, 6, 3, rounds=1500, ridge=ridge, rate=0.3)
     least = ordinal.penalised_loss(w, cuts, rows, grades, ridge)
     # Likelihoods one by one, by the definition.
     slow = ridge / 2 * sum(x * x for x in w)
@@ -454,12 +454,14 @@ def test_fit_reaches_the_least_loss():
         up = [1.0, *(1 / (1 + math.exp(-(sum(w[i] for i in r) - c))) for c in cuts), 0.0]
         slow -= math.log(up[g] - up[g + 1]) / len(rows)
     assert least == pytest.approx(slow)
-    # No step in any direction gets lower, and slopes by differences vanish.
+    # No step in any direction gets lower, and slopes by differences vanish, but that no weight goes below 0.
+    assert w.min() >= 0
     for k in range(8):
         step = np.zeros(8)
         step[k] = 1e-3
         up, down = (ordinal.penalised_loss(w + s * step[:6], cuts + s * step[6:], rows, grades, ridge) for s in (1, -1))
-        assert abs(up - down) / 2e-3 < 2e-3 and min(up, down) > least - 1e-6
+        assert up > least - 1e-6
+        assert (k < 6 and w[k] == 0) or (abs(up - down) / 2e-3 < 2e-3 and down > least - 1e-6)
 
 
 def test_toxicity_on_unseen_rows(spark):
