@@ -59,7 +59,6 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SPACE = regex.compile(r"\s+")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.28
@@ -158,13 +157,15 @@ def blocks_of(page: str) -> list[Block]:
 
     def end_block():
         nonlocal heading
+        heading_was, heading = heading, False
+        if not parts:
+            return
         # What a shaded inline element holds is a block of its own.
-        for shaded in dict.fromkeys(u for u, _, _ in parts):
-            text = SPACE.sub(" ", "".join(t for u, t, _ in parts if u == shaded)).strip()
+        for shaded in dict.fromkeys([u for u, _, _ in parts]):
+            text = " ".join("".join([t for u, t, _ in parts if u == shaded]).split())
             if text:
-                out.append(Block(text, sum(n for u, _, n in parts if u == shaded), heading, article > 0, here, around > 0, under=shaded))
+                out.append(Block(text, sum([n for u, _, n in parts if u == shaded]), heading_was, article > 0, here, around > 0, under=shaded))
         parts.clear()
-        heading = False
 
     def leave(to: int):
         nonlocal hidden, links, article, around, under, here
@@ -247,7 +248,7 @@ def blocks_of(page: str) -> list[Block]:
 def stop_share(text: str) -> float | None:
     """The share of stop words; None for a text without words."""
     words = LETTERS.findall(text.lower())
-    return sum(w in STOP for w in words) / len(words) if words else None
+    return sum([w in STOP for w in words]) / len(words) if words else None
 
 
 def covered(blocks: list[Block]) -> bool:
