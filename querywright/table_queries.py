@@ -132,7 +132,7 @@ def with_nulls(spark: SparkSession, sf_dir: str) -> Catalog:
     catalog.add(declared("customer"), customer.withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal"))))
     catalog.add(declared("orders"), orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 10_000_000).when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))))
     key = F.when(F.col("event_id") % 2 == 0, F.upper("meta_key")).otherwise(F.col("meta_key"))
-    meta = event_metadata(events).withColumn("event_id", F.col("meta_id")).withColumn("meta_value", F.when(F.col("event_id") % 6 != 0, F.col("meta_value"))).withColumn("meta_key", key).drop("event_id")
+    meta = event_metadata(events).withColumn("event_id", F.col("meta_id")).withColumn("meta_value", F.when(F.col("event_id") % 3 != 0, F.col("meta_value"))).withColumn("meta_key", key).drop("event_id")
     catalog.add(declared("customermeta"), meta)
     return catalog
 
@@ -140,7 +140,7 @@ def with_nulls(spark: SparkSession, sf_dir: str) -> Catalog:
 _PARTS = "(SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_name END AS p_name, p_brand, p_type, p_size, p_retailprice FROM part)"
 _CUSTOMERS = "(SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer)"
 _ORDERS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 10000000 WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders)"
-_METAS = "(SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS k, CASE WHEN event_id % 6 <> 0 THEN value END AS v FROM events)"
+_METAS = "(SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS k, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events)"
 
 
 def register_nulls(name: str, table: str, spec: dict[str, Any], sql: str, options: Options = OPTIONS) -> None:
@@ -350,11 +350,11 @@ def hook_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooked(spark, sf_dir, "nation", Hooks(parsers=even)).query({**ALL, "even": "n_nationkey", "n_regionkey": 3})
 
 
-@query("hook_comparison", "SELECT * FROM nation WHERE starts_with(n_name, 'I')")
+@query("hook_comparison", "SELECT * FROM nation WHERE starts_with(n_name, 'NATION_1')")
 def hook_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     begins = Comparison("BEGINS", lambda left, value, lit, fold: left.startswith(lit(value)))
     options = replace(OPTIONS, comparisons=Comparisons().with_operator(begins))
-    return hooked(spark, sf_dir, "nation", Hooks(), options).query({**ALL, **where("n_name", "begins", "I")})
+    return hooked(spark, sf_dir, "nation", Hooks(), options).query({**ALL, **where("n_name", "begins", "NATION_1")})
 
 
 @query("hook_clauses", "SELECT * FROM nation WHERE n_regionkey = 1 AND n_name > 'B'")
