@@ -19,6 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_all_cores(table: DataFrame) -> DataFrame:
+    """A stored table in fewer splits than the session has cores, dealt to all of them; any other as it is.
+
+    A small file has one row group, so one task would do all the work on its texts.
+    Large tables have splits enough and are never moved.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywright.llm import bpe_count, cdc, html_blocks, interleave, jaccard, langid, mixing, oracle, ordinal, spaced, warc
-from querywright.llm.common import read_table, written
+from querywright.llm.common import on_all_cores, read_table, written
 
 TOKEN_LIMIT = 512
 N_SHARDS = 40
@@ -21,14 +21,14 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = on_all_cores(read_table(spark, sf_dir, "documents"))
     model = ordinal.train(docs, ordinal.grades_from_labels(read_table(spark, sf_dir, "labels")))
     told = docs.select("doc_id", ordinal.severity(spark, F.col("text"), model).alias("s"))
     return told.select("doc_id", "s.expected_severity", "s.p_toxic", "s.grade", (F.col("s.p_toxic") >= 0.5).alias("toxic"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = on_all_cores(read_table(spark, sf_dir, "documents"))
     n = bpe_count.token_count(spark, F.col("text"), tokenizer_path("byte_bpe_50k.json"))
     counted = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), n.alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -48,13 +48,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
+    pages = on_all_cores(read_table(spark, sf_dir, "pages"))
     told = pages.select("page_id", "url", html_blocks.extract_main_text(F.col("html")).alias("text"))
     return told.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = on_all_cores(read_table(spark, sf_dir, "documents"))
     out = langid.held_out(F.col("doc_id"))
     model = langid.train(docs.where(~out), tokenizer_path("piece_bpe_32k.model"))
     found = docs.select("doc_id", out.alias("held_out"), langid.predict(spark, F.col("text"), model).alias("p"))
@@ -62,7 +62,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similarity_groups(read_table(spark, sf_dir, "documents"))
+    return jaccard.similarity_groups(on_all_cores(read_table(spark, sf_dir, "documents")))
 
 
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
